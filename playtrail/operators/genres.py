@@ -41,6 +41,22 @@ def top_genre_text(plays, tracks, filt=None, limit=100) -> DataFrame:
     return top(totals, limit, "total_ms", "genre")
 
 
+def artist_popularity(plays, tracks, filt=None, limit=50) -> DataFrame:
+    """Mean popularity over the plays of each artist, for the artists played most."""
+    rated = F.when(F.col("artist_popularity").isNotNull(), F.col("plays"))
+    return top(
+        collapse(scoped(plays, filt), "artist", "track_uri")
+        .join(tracks.select("track_uri", "artist_popularity"), "track_uri")
+        .groupBy("artist")
+        .agg(
+            ratio(F.sum(F.col("artist_popularity") * F.col("plays")), F.sum(rated))
+            .alias("artist_popularity"),
+            F.sum("plays").alias("play_count"),
+        ),
+        limit, "play_count", "artist",
+    )
+
+
 def top_genres(plays, genres, track_genres, filt=None, limit=50) -> DataFrame:
     per_id = (
         collapse(scoped(plays, played(), filt), "track_uri")

@@ -10,7 +10,9 @@ from playtrail.functions.text import duration_text, item_label, pair_label
 from playtrail.plans.collapse import collapse, top
 from playtrail.plans.filters import known, played, scoped
 
-_TOTALS = ("total_ms", F.col("plays").alias("play_count"))
+
+def _totals(plays: DataFrame, *keys) -> DataFrame:
+    return collapse(plays, *keys).withColumnRenamed("plays", "play_count")
 
 
 def _with_tracks(plays: DataFrame, *keys) -> DataFrame:
@@ -23,15 +25,15 @@ def _with_tracks(plays: DataFrame, *keys) -> DataFrame:
 
 
 def top_tracks(plays, filt=None, limit=100) -> DataFrame:
-    totals = collapse(scoped(plays, filt), "track", "artist").select("track", "artist", *_TOTALS)
+    totals = _totals(scoped(plays, filt), "track", "artist")
     return top(totals, limit, "total_ms", "track", "artist")
 
 
 def top_tracks_detail(plays, filt=None, limit=25) -> DataFrame:
-    totals = collapse(scoped(plays, played(), filt), "track", "artist", "album")
+    totals = _totals(scoped(plays, played(), filt), "track", "artist", "album")
     best = top(totals, limit, "total_ms", "track", "artist", "album")
     return best.select(
-        "track", "artist", "album", *_TOTALS,
+        "*",
         duration_text(F.col("total_ms")).alias("duration_display"),
         pair_label("artist", "track").alias("track_label"),
     )
@@ -42,7 +44,7 @@ def top_artists(plays, filt=None, limit=100) -> DataFrame:
 
 
 def top_artists_known(plays, filt=None, limit=50) -> DataFrame:
-    totals = collapse(scoped(plays, known("artist"), filt), "artist").select("artist", *_TOTALS)
+    totals = _totals(scoped(plays, known("artist"), filt), "artist")
     return top(totals, limit, "total_ms", "artist").withColumn(
         "item_tooltip", item_label(F.col("artist"), F.col("total_ms"), F.col("play_count"))
     )

@@ -3,7 +3,8 @@
 Two families share names and differ in meaning. ``build_filter`` takes trailing windows and day parts
 whose upper hour is included; ``build_period_filter`` takes windows from the start of the unit and
 half-open day parts. Time bounds stay plain comparisons on the raw timestamp, so they reach the
-Parquet scan; where a table is partitioned by day, pass that column to prune partitions too.
+Parquet scan. For a table partitioned by period, ``partition=("play_date", "day")`` names the partition
+column and its unit, and the bounds prune partitions too.
 """
 
 from __future__ import annotations
@@ -46,32 +47,39 @@ def scoped(df: DataFrame, *conditions) -> DataFrame:
     return df if condition is None else df.where(condition)
 
 
-def between_days(start, end, ts="ts", day_col=None) -> Column:
+def between_days(start, end, ts="ts", partition=None) -> Column:
     """Days from ``start`` to ``end``, both included."""
     first, last = _as_day(start), _as_day(end)
     column = F.col(ts)
     bounds = (column >= calendar.moment(first)) & (
         column < calendar.moment(last + dt.timedelta(days=1))
     )
-    if day_col:
-        bounds = bounds & F.col(day_col).between(F.lit(first), F.lit(last))
+    if partition:
+        bounds = bounds & _from_period(calendar.moment(first), partition) & (
+            F.col(partition[0]) <= F.lit(last)
+        )
     return bounds
 
 
-def _since(point: Column, ts, day_col) -> Column:
+def _from_period(point: Column, partition) -> Column:
+    column, unit = partition
+    return F.col(column) >= calendar.period_start(unit, point).cast("date")
+
+
+def _since(point: Column, ts, partition) -> Column:
     bound = F.col(ts) >= point
-    return bound & (F.col(day_col) >= point.cast("date")) if day_col else bound
+    return bound & _from_period(point, partition) if partition else bound
 
 
-def trailing(unit: str, as_of=None, ts="ts", day_col=None) -> Column:
+def trailing(unit: str, as_of=None, ts="ts", partition=None) -> Column:
     """From one year, month, week or day before ``as_of`` on."""
-    return _since(calendar.before(calendar.moment(as_of), 1, unit), ts, day_col)
+    return _since(calendar.before(calendar.moment(as_of), 1, unit), ts, partition)
 
 
-def since_last_year_of(unit: str, as_of=None, ts="ts", day_col=None) -> Column:
+def since_last_year_of(unit: str, as_of=None, ts="ts", partition=None) -> Column:
     """From one year before the start of the unit holding ``as_of`` on."""
     start = calendar.period_start(unit, calendar.moment(as_of))
-    return _since(calendar.before(start, 1, "year"), ts, day_col)
+    return _since(calendar.before(start, 1, "year"), ts, partition)
 
 
 def on_weekdays(days, ts="ts") -> Column | None:
@@ -94,22 +102,22 @@ def in_half_open_day_parts(parts, ts="ts") -> Column | None:
 
 
 def build_filter(timeframe=ALL_TIME, date_range=None, days=(), day_parts=(), as_of=None, ts="ts",
-                 day_col=None) -> Column | None:
+                 partition=None) -> Column | None:
     """Conjunction of the active filters. A date range counts only for 'All Time'."""
     window = None
     if timeframe == ALL_TIME:
         if date_range and all(date_range):
-            window = between_days(*date_range, ts=ts, day_col=day_col)
+            window = between_days(*date_range, ts=ts, partition=partition)
     elif timeframe and timeframe.lower() in calendar.PERIOD_UNITS:
-        window = trailing(timeframe.lower(), as_of, ts, day_col)
+        window = trailing(timeframe.lower(), as_of, ts, partition)
     return all_of(window, on_weekdays(days or (), ts), in_day_parts(day_parts or (), ts))
 
 
 def build_period_filter(timeframe=None, days=(), day_parts=(), as_of=None, ts="ts",
-                        day_col=None) -> Column | None:
+                        partition=None) -> Column | None:
     window = None
     if timeframe and timeframe != ALL_TIME:
-        window = since_last_year_of(timeframe.lower(), as_of, ts, day_col)
+        window = since_last_year_of(timeframe.lower(), as_of, ts, partition)
     return all_of(
         window, in_half_open_day_parts(day_parts or (), ts), on_weekdays(days or (), ts)
     )
