@@ -176,7 +176,7 @@ check("ad_hoc_sql", lambda t: tables.sql(t.spark, _AD_HOC, {"plays": t.li, "trac
 def _exported(t):
     path = scratch_path(t.spark, "export")
     tables.export_csv(t.ev, path)
-    back = t.spark.read.schema(t.ev.schema).options(**tables.CSV_OPTIONS).csv(path)
+    back = t.spark.read.schema(t.ev.schema).options(**tables.CSV_READ_OPTIONS).csv(path)
     return back.groupBy("artist", "album").agg(
         F.count(F.lit(1)).alias("plays"), F.sum("ms_played").alias("total_ms"),
         F.max("ts").alias("last_ts"), F.count_if("skipped").alias("skips"))

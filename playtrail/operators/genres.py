@@ -12,8 +12,8 @@ from playtrail.functions import calendar
 from playtrail.functions.numeric import ratio
 from playtrail.functions.text import item_label
 from playtrail.operators.overview import auto_granularity
-from playtrail.plans.collapse import collapse, top
-from playtrail.plans.filters import among, played, scoped
+from playtrail.plans.collapse import collapse, top, within_top
+from playtrail.plans.filters import played, scoped
 
 
 def _by_text(plays, tracks, *keys) -> DataFrame:
@@ -89,13 +89,12 @@ def genre_totals(plays, genres, track_genres, filt=None, limit=50) -> DataFrame:
 
 def _fold_others(periods: DataFrame, rank_by: str, limit: int) -> DataFrame:
     """Genres outside the ``limit`` largest become 'Other'; share of the period's plays."""
-    ranked = periods.groupBy("genre").agg(F.sum(rank_by).alias("rank_total"))
-    kept = top(ranked, limit, "rank_total", "genre").select("genre", F.col("genre").alias("kept"))
+    others = [m for m in ("plays", "total_ms") if m in periods.columns and m != rank_by]
     in_period = F.sum("plays").over(Window.partitionBy("period"))
     return (
-        periods.join(kept, "genre", "left")
+        within_top(periods, limit, "genre", rank_by, *others, how="left")
         .groupBy("period", F.coalesce("kept", F.lit("Other")).alias("genre"))
-        .agg(F.sum("plays").alias("plays"), F.sum("total_ms").alias("total_ms"))
+        .agg(*[F.sum(m).alias(m) for m in (rank_by, *others)])
         .withColumn("proportion", ratio(F.col("plays"), in_period))
     )
 
@@ -104,9 +103,9 @@ def genre_text_evolution(plays, tracks, unit="month", filt=None, limit=10) -> Da
     periods = (
         _by_text(scoped(plays, filt), tracks, calendar.period_start(unit, "ts").alias("period"))
         .groupBy("period", "genre")
-        .agg(F.sum("plays").alias("plays"), F.sum("total_ms").alias("total_ms"))
+        .agg(F.sum("plays").alias("plays"))
     )
-    return _fold_others(periods, "plays", limit).drop("total_ms")
+    return _fold_others(periods, "plays", limit)
 
 
 def _genre_periods(plays, genres, track_genres, period) -> DataFrame:
@@ -123,8 +122,8 @@ def genre_evolution(plays, genres, track_genres, unit="month", filt=None, limit=
     """Plays per period of the genres with most time. ``unit='auto'`` fits the unit to the span."""
     lasted = scoped(plays, played(), filt)
     if unit == "auto":
-        fitted = auto_granularity(plays, filt).select("unit")
-        lasted = lasted.crossJoin(F.broadcast(fitted))  # one row
+        fitted = auto_granularity(plays, filt).select("unit").scalar()
+        lasted = lasted.withColumn("unit", fitted)
         period = (
             F.when(F.col("unit") == "day", calendar.period_start("day", "ts"))
             .when(F.col("unit") == "week", calendar.period_start("week", "ts"))
@@ -173,10 +172,11 @@ def genre_by_hour(plays, genres, track_genres, filt=None, limit=8) -> DataFrame:
         .groupBy("hour", "genre_id")
         .agg(F.sum("count").alias("count"), F.sum("all_ms").alias("all_ms"))
     )
-    hours = _named(per_id, genres)
-    time = hours.groupBy("genre").agg(F.sum("all_ms").alias("time"))
-    chosen = top(time, limit, "time", "genre")
-    return among(hours.where(F.col("count") > 0), chosen, "genre").select("hour", "genre", "count")
+    hours = within_top(_named(per_id, genres), limit, "genre", "all_ms", "count")
+    # Counted plays took time, so the second condition holds whenever the first does.
+    return hours.where((F.col("count") > 0) & F.col("all_ms").isNotNull()).select(
+        "hour", "genre", "count"
+    )
 
 
 def genre_order(evolution: DataFrame) -> DataFrame:

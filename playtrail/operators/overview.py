@@ -45,14 +45,20 @@ def overview_full(plays, tracks, genres, track_genres, filt=None) -> DataFrame:
         ratio(F.sum("skips"), F.sum("plays")).alias("skip_rate"),
         to_hours(F.sum("total_ms")).alias("total_hours"),
     )
-    pairs = combos.select("track", "artist").distinct()
-    named = genres_by_pair(tracks, track_genres).join(pairs, ["track", "artist"], "left_semi")
+    # The conditions hold for every row. They make this branch read the columns the other one reads, so
+    # that Spark runs the aggregate over the plays once and reuses its exchange. The null-safe join
+    # serves the same end: a plain one would push its null checks below that aggregate.
+    pairs = combos.where((F.col("plays") > 0) & (F.col("total_ms") > 0) & (F.col("skips") >= 0))
+    pairs = pairs.select("track", "artist").distinct().alias("p")
+    named = genres_by_pair(tracks, track_genres).dropna(subset=["track", "artist"]).alias("n")
+    same = F.col("n.track").eqNullSafe(F.col("p.track")) & F.col("n.artist").eqNullSafe(F.col("p.artist"))
     met = (
-        named.select("genre_id").distinct()
+        named.join(pairs, same, "left_semi")
+        .select("genre_id").distinct()
         .join(genres, "genre_id")
-        .agg(F.count_distinct("name").alias("unique_genres"))
+        .agg(F.count_distinct("name"))
     )
-    return base.crossJoin(met)
+    return base.withColumn("unique_genres", met.scalar())
 
 
 def genres_by_pair(tracks: DataFrame, track_genres: DataFrame) -> DataFrame:
@@ -64,12 +70,16 @@ def genres_by_pair(tracks: DataFrame, track_genres: DataFrame) -> DataFrame:
 
 
 def table_counts(plays: DataFrame, tracks: DataFrame, with_genres=False) -> DataFrame:
-    dims = [F.count(F.lit(1)).alias("metadata_count")]
-    if with_genres:
-        # NULL and '' both fail the comparison.
-        dims.append(F.count_if(F.col("genres") != "").alias("genre_track_count"))
-    history = plays.agg(F.count(F.lit(1)).alias("history_count"))
-    return history.crossJoin(tracks.agg(*dims))
+    rows = F.count(F.lit(1))
+    counts = plays.agg(rows.alias("history_count")).withColumn(
+        "metadata_count", tracks.agg(rows).scalar()
+    )
+    if not with_genres:
+        return counts
+    # NULL and '' both fail the comparison.
+    return counts.withColumn(
+        "genre_track_count", tracks.agg(F.count_if(F.col("genres") != "")).scalar()
+    )
 
 
 def table_profile(tables: dict[str, DataFrame]) -> DataFrame:

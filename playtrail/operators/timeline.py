@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from playtrail.functions import calendar
 from playtrail.functions.numeric import hour_angle, ratio, to_minutes
-from playtrail.plans.collapse import collapse, top
-from playtrail.plans.filters import among, known, scoped
+from playtrail.plans.collapse import collapse, within_top
+from playtrail.plans.filters import known, scoped
 
 
 def artist_monthly(plays, filt=None) -> DataFrame:
@@ -21,9 +21,7 @@ def artist_monthly(plays, filt=None) -> DataFrame:
 
 def artist_trends_top(plays, filt=None, limit=10) -> DataFrame:
     """Monthly plays of the artists with most time, both taken from one aggregate."""
-    monthly = artist_monthly(plays, filt)
-    totals = monthly.groupBy("artist").agg(F.sum("total_ms").alias("time"))
-    return among(monthly, top(totals, limit, "time", "artist"), "artist")
+    return within_top(artist_monthly(plays, filt), limit, "artist", "total_ms", "plays")
 
 
 def daily_patterns(plays, filt=None) -> DataFrame:

@@ -24,3 +24,20 @@ def top(df: DataFrame, limit: int, measure: str, *ties) -> DataFrame:
     """First ``limit`` rows by falling measure; the keys settle equal measures."""
     order = [F.col(measure).desc_nulls_last(), *[F.col(c).asc_nulls_last() for c in ties]]
     return df.orderBy(*order).limit(limit)
+
+
+def within_top(grouped: DataFrame, limit: int, key: str, measure: str, *others, how="inner") -> DataFrame:
+    """An aggregate joined to its ``limit`` keys with the largest sum of ``measure``.
+
+    With ``how="left"`` all rows stay and the column ``kept`` tells the chosen keys from the rest.
+
+    The aggregate is used twice, and Spark reuses its exchange only while both uses read the same
+    columns. So the ``others`` are summed for the ranking too and close its order, behind the key, which
+    already decides it. The chosen keys are unique, so an inner join serves as the semi join, which
+    Catalyst would push below the aggregate of one side only.
+    """
+    sums = grouped.groupBy(key).agg(*[F.sum(m).alias(m) for m in (measure, *others)])
+    chosen = top(sums, limit, measure, key, *others)
+    if how == "left":
+        return grouped.join(chosen.select(key, F.col(key).alias("kept")), key, "left")
+    return grouped.join(chosen.select(key), key)

@@ -23,7 +23,7 @@ def _in_order(df: DataFrame, order) -> DataFrame:
 
 
 def number_rows(df: DataFrame, order, start=0, name="id") -> DataFrame:
-    """Consecutive numbers ``start + 1, start + 2, ...`` in the given order.
+    """Consecutive numbers ``start + 1, start + 2, ...`` in the given order; ``start`` may be a Column.
 
     The ordered rows are checkpointed: their range bounds come from a sample, and a second run of the
     sample (another job, a lost executor) could draw other bounds. The rest is a count per partition,

@@ -24,6 +24,8 @@ CSV_OPTIONS = {
     "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS",
     "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS",
 }
+# A null text that occurs nowhere lets the reader tell an empty field (NULL) from a quoted one ('').
+CSV_READ_OPTIONS = {**CSV_OPTIONS, "nullValue": "\0"}
 
 
 def read_table(spark: SparkSession, path: str) -> DataFrame | None:
@@ -78,7 +80,7 @@ def number_new_plays(plays: DataFrame, current: DataFrame | None, order=("ts", "
     """``plays`` with ids that continue after the highest id in ``current``."""
     start = 0
     if current is not None:
-        start = current.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
+        start = current.agg(F.coalesce(F.max("id"), F.lit(0))).scalar()
     return number_rows(plays, order, start=start)
 
 
