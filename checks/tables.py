@@ -21,72 +21,66 @@ COUNTRIES = ("US", "NO", "ES", "DE", "FR", "IT", "GB")
 class Tables:
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder
+        self._read: dict[str, DataFrame] = {}
 
     def raw(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        if name not in self._read:
+            self._read[name] = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        return self._read[name]
 
     def _named(self, plays: DataFrame) -> DataFrame:
-        part = self.raw("part").select(
+        part = self.raw("part").selectExpr(
             "p_partkey",
-            F.col("p_name").alias("track"),
-            F.nullif(F.col("p_brand"), F.lit("Brand#13")).alias("artist"),
-            F.nullif(F.col("p_type"), F.lit("PROMO")).alias("album"),
-            F.col("p_partkey").cast("string").alias("track_uri"),
+            "p_name AS track",
+            "nullif(p_brand, 'Brand#13') AS artist",
+            "nullif(p_type, 'PROMO') AS album",
+            "cast(p_partkey AS string) AS track_uri",
         )
         return plays.join(part, "p_partkey").drop("p_partkey")
 
     @cached_property
     def ev(self) -> DataFrame:
-        kind = F.col("event_type")
-        reason = F.when(kind == "error", "forward").when(kind == "signup", "back")
-        country = F.element_at(
-            F.array(*[F.lit(c) for c in COUNTRIES]), (F.col("user_id") % 7 + 1).cast("int")
-        )
-        plays = self.raw("events").select(
-            F.get_json_object("props", "$.k").cast("bigint").alias("p_partkey"),
-            F.col("event_id").alias("id"),
+        countries = ", ".join(f"'{c}'" for c in COUNTRIES)
+        plays = self.raw("events").selectExpr(
+            "cast(get_json_object(props, '$.k') AS bigint) AS p_partkey",
+            "event_id AS id",
             "ts",
-            F.when(F.col("event_id") % 50 == 0, F.lit(0).cast("bigint"))
-            .otherwise(F.floor(F.col("value") * 1000)).alias("ms_played"),
-            reason.otherwise("trackdone").alias("reason_end"),
-            F.when(kind != "view", kind.isin("error", "signup")).alias("skipped"),
-            country.alias("country"),
+            "if(event_id % 50 = 0, 0L, floor(value * 1000)) AS ms_played",
+            "decode(event_type, 'error', 'forward', 'signup', 'back', 'trackdone') AS reason_end",
+            "if(event_type = 'view', NULL, event_type IN ('error', 'signup')) AS skipped",
+            f"element_at(array({countries}), cast(user_id % 7 + 1 AS int)) AS country",
         )
         return self._named(plays)
 
     @cached_property
     def li(self) -> DataFrame:
-        flag = F.col("l_returnflag")
-        plays = self.raw("lineitem").select(
-            F.col("l_partkey").alias("p_partkey"),
-            F.col("l_shipdate").alias("ts"),
-            F.floor("l_extendedprice").alias("ms_played"),
-            F.when(flag == "R", True).when(flag == "A", False).alias("skipped"),
+        plays = self.raw("lineitem").selectExpr(
+            "l_partkey AS p_partkey",
+            "l_shipdate AS ts",
+            "floor(l_extendedprice) AS ms_played",
+            "decode(l_returnflag, 'R', true, 'A', false) AS skipped",
         )
         return self._named(plays)
 
     @cached_property
     def tracks(self) -> DataFrame:
-        key, words = F.col("p_partkey"), F.split("p_name", " ")
-        released = F.date_add(F.lit("1950-01-01").cast("date"), (key * 37 % 18800).cast("int"))
-        listed = F.concat(F.lit('["'), words[0], F.lit('","'), words[1], F.lit('"]'))
-        return self.raw("part").select(
-            key.cast("string").alias("track_uri"),
-            F.col("p_name").alias("track"),
-            F.nullif(F.col("p_brand"), F.lit("Brand#13")).alias("artist"),
-            F.col("p_size").alias("track_popularity"),
-            F.when(key % 17 == 0, F.lit(None).cast("date"))
-            .when(key % 23 == 0, F.lit("1899-06-01").cast("date"))
-            .otherwise(released).alias("album_release_date"),
-            F.col("p_type").alias("album"),
-            (F.col("p_size") * 1000).alias("duration_ms"),
-            (key % 2 == 0).alias("explicit"),
-            F.lower("p_type").alias("album_type"),
-            F.col("p_size").alias("total_tracks"),
-            F.when(key % 19 == 0, "").otherwise(listed).alias("genres"),
-            (F.floor("p_retailprice") % 101).cast("int").alias("artist_popularity"),
-            F.concat(F.lit("artist:"), "p_brand").alias("artist_uri"),
-            (key * 10).alias("artist_followers"),
+        words = "split(p_name, ' ')"
+        return self.raw("part").selectExpr(
+            "cast(p_partkey AS string) AS track_uri",
+            "p_name AS track",
+            "nullif(p_brand, 'Brand#13') AS artist",
+            "p_size AS track_popularity",
+            "CASE WHEN p_partkey % 17 = 0 THEN NULL WHEN p_partkey % 23 = 0 THEN date'1899-06-01' "
+            "ELSE date_add(date'1950-01-01', cast(p_partkey * 37 % 18800 AS int)) END AS album_release_date",
+            "p_type AS album",
+            "p_size * 1000 AS duration_ms",
+            "p_partkey % 2 = 0 AS explicit",
+            "lower(p_type) AS album_type",
+            "p_size AS total_tracks",
+            f"if(p_partkey % 19 = 0, '', concat('[\"', {words}[0], '\",\"', {words}[1], '\"]')) AS genres",
+            "cast(floor(p_retailprice) % 101 AS int) AS artist_popularity",
+            "concat('artist:', p_brand) AS artist_uri",
+            "p_partkey * 10 AS artist_followers",
         )
 
     @cached_property

@@ -62,13 +62,20 @@ def _cut_after(body: Column, mark: str, keep: int) -> Column:
     return F.when(F.contains(body, F.lit(mark)), F.left(body, size))
 
 
-def parsed_items(body: Column) -> Column:
-    """Plays of one document as string maps, NULL when nothing can be recovered.
+def with_items(documents: DataFrame, recover=True) -> DataFrame:
+    """(source_file, items): the plays of each document as string maps.
 
-    A document that does not end its array is cut after its last object and closed. Whatever still fails
-    to parse is cut at its last ``},`` instead.
+    Items are NULL for a document that cannot be parsed. With ``recover``, a document that does not end
+    its array is cut after its last object and closed, and whatever still fails to parse is cut at its
+    last ``},`` instead. The steps are separate selects so that each is evaluated once per document.
     """
-    text = F.btrim(body, F.lit(" \t\r\n\f\x0b"))
+    trimmed = documents.select(
+        "source_file", "body", F.btrim("body", F.lit(" \t\r\n\f\x0b")).alias("text")
+    )
+    text, body = F.col("text"), F.col("body")
+    nothing = F.when(text == "null", F.array().cast(_ITEMS))
+    if not recover:
+        return trimmed.select("source_file", F.coalesce(nothing, F.from_json(text, _ITEMS)).alias("items"))
     object_last = F.length(F.substring_index(text, "}", -1)) < F.length(
         F.substring_index(text, "]", -1)
     )
@@ -77,14 +84,18 @@ def parsed_items(body: Column) -> Column:
         F.concat(_cut_after(text, "}", 1), F.lit("]")),
     )
     shorter = F.concat(_cut_after(body, "},", 1), F.lit("]"))
-    nothing = F.when(text == "null", F.array().cast(_ITEMS))
-    return F.coalesce(nothing, F.from_json(closed, _ITEMS), F.from_json(shorter, _ITEMS))
+    items = F.coalesce(nothing, F.from_json(closed, _ITEMS), F.from_json(shorter, _ITEMS))
+    return trimmed.select("source_file", items.alias("items"))
 
 
-def with_items(documents: DataFrame) -> DataFrame:
-    """Documents with ``items``; empty and null items are left out."""
-    present = F.filter(parsed_items(F.col("body")), lambda i: F.coalesce(F.size(i), F.lit(0)) > 0)
-    return documents.select("source_file", present.alias("items"))
+def _each_item(parsed: DataFrame) -> DataFrame:
+    """One row per item that is neither null nor empty.
+
+    The outer explode matters: for a plain one Spark adds a check that the array is filled, and that
+    check would parse every document again.
+    """
+    item = F.col("item")
+    return parsed.select("source_file", F.explode_outer("items").alias("item")).where(F.size(item) > 0)
 
 
 def _field(item: Column, name: str) -> Column:
@@ -126,8 +137,7 @@ def bulk_plays(documents: DataFrame) -> DataFrame:
         "skipped": _skipped_by_reason(item),
     }
     return (
-        with_items(documents)
-        .select("source_file", F.explode("items").alias("item"))
+        _each_item(with_items(documents))
         .where(is_music(item) & ~_unreadable(item))
         .select(
             *[typed.get(n, _field(item, n)).alias(n) for n in PLAYS.fieldNames()], "source_file"
@@ -150,7 +160,7 @@ def load_report(documents: DataFrame) -> DataFrame:
         items.isNull().alias("broken"),
         number(lambda i: is_music(i) & ~_unreadable(i)).alias("inserted"),
         number(lambda i: is_music(i) & _unreadable(i)).alias("failed"),
-        number(lambda i: ~is_music(i)).alias("skipped_content"),
+        number(lambda i: (F.size(i) > 0) & ~is_music(i)).alias("skipped_content"),
     )
     status = (
         F.when(F.col("broken"), "failed")
@@ -164,22 +174,16 @@ def load_report(documents: DataFrame) -> DataFrame:
 def upload_plays(documents: DataFrame, shift_clock=True, recover=False) -> DataFrame:
     """Plays of uploaded documents with every gap filled and the clock moved by country.
 
-    All items are kept, music or not. A document that is no JSON array, or a time that cannot be read,
+    All items with any field are kept, music or not. A document that is no JSON array, or a time that cannot be read,
     fails the job. With ``recover`` truncated documents are cut as in the bulk load, and only hopeless
     ones fail.
     """
-    body = F.col("body")
-    items = parsed_items(body) if recover else F.from_json(body, _ITEMS)
+    items = F.col("items")
     refused = F.raise_error(F.concat(F.lit("no JSON array of plays: "), F.col("source_file")))
-    nothing = F.trim(body) == "null"
-    rows = documents.select(
-        "source_file",
-        F.explode(
-            F.when(nothing, F.lit(None).cast(_ITEMS))
-            .when(items.isNull(), refused.cast(_ITEMS))
-            .otherwise(items)
-        ).alias("item"),
-    ).where(F.col("item").isNotNull())
+    readable = with_items(documents, recover).select(
+        "source_file", F.when(items.isNull(), refused.cast(_ITEMS)).otherwise(items).alias("items")
+    )
+    rows = _each_item(readable)
     item = F.col("item")
     raw = {n: _field(item, n) for n in PLAYS.fieldNames()}
     typed = {

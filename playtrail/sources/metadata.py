@@ -108,8 +108,13 @@ def last_per_track(rows: DataFrame, order=LOAD_ORDER) -> DataFrame:
 def upsert_tracks(current: DataFrame, incoming: DataFrame, order=LOAD_ORDER) -> DataFrame:
     """``current`` with its tracks replaced by, and extended with, the last incoming rows.
 
-    Write the result to a new location; it reads ``current``.
+    Both sides of the join hold a track once, so no key is hot, and the incoming side is already
+    partitioned by track from its aggregate. Write the result to a new location; it reads ``current``.
     """
-    fresh = last_per_track(incoming, order)
-    kept = current.join(fresh.select("track_uri"), "track_uri", "left_anti")
-    return kept.unionByName(fresh.select(*current.columns))
+    fields = [c for c in current.columns if c != "track_uri"]
+    fresh = last_per_track(incoming, order).select("track_uri", F.struct(*fields).alias("fresh"))
+    both = current.join(fresh, "track_uri", "full_outer")
+    return both.select(
+        "track_uri",
+        *[F.when(F.col("fresh").isNotNull(), F.col(f"fresh.{c}")).otherwise(F.col(c)).alias(c) for c in fields],
+    ).select(*current.columns)
