@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from checks.registry import check
 from checks.tables import sql
+from playtrail.operators import rankings
 from playtrail.plans import filters as f
 
 _PASSED = """SELECT COUNT(*) AS plays, CAST(SUM(ms_played) AS BIGINT) AS total_ms,
@@ -80,3 +81,10 @@ check(
       WHERE EXTRACT(YEAR FROM album_release_date) > 1900
         AND EXTRACT(YEAR FROM album_release_date) <= 1999"""),
 )
+check(
+    "filter_among_top",
+    lambda t: _passed(f.among(t.li, rankings.top_artists_known(t.li, limit=10), "artist")),
+    sql(f"""best AS (SELECT artist FROM plays WHERE artist IS NOT NULL GROUP BY 1
+        ORDER BY SUM(ms_played) DESC, artist LIMIT 10)
+      {_PASSED} WHERE artist IN (SELECT artist FROM best)""", "li"),
+)

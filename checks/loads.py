@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from checks.registry import check
 from checks.tables import sql
 from playtrail.functions.calendar import country_clock
+from playtrail.operators import overview
 from playtrail.plans.ordered import number_rows
 from playtrail.schemas import TRACKS
 from playtrail.session import scratch_path
@@ -185,3 +186,20 @@ def _exported(t):
 check("csv_export", _exported,
       sql("""SELECT artist, album, COUNT(*) AS plays, CAST(SUM(ms_played) AS BIGINT) AS total_ms,
         MAX(ts) AS last_ts, COUNT(*) FILTER (skipped) AS skips FROM plays GROUP BY 1, 2"""))
+
+
+def _listed(t):
+    """The catalog's tables and columns, with the rows of each."""
+    named = {f"listed_{n}": t.raw(n) for n in ("events", "part", "lineitem", "documents")}
+    tables.register_views(t.spark, named)
+    names = [n for n in tables.list_tables(t.spark) if n in named and tables.table_exists(t.spark, n)]
+    profile = overview.table_profile({n: t.spark.table(n) for n in names})
+    widths = F.create_map(*[F.lit(v) for n in names for v in (n, len(tables.table_schema(t.spark, n)))])
+    return profile.withColumn("columns", F.element_at(widths, F.col("table_name"))).drop("is_empty")
+
+
+check("listed_tables", _listed,
+      " UNION ALL ".join(
+          f"""SELECT 'listed_{n}' AS table_name, COUNT(*) AS row_count, (SELECT COUNT(*)
+            FROM (DESCRIBE SELECT * FROM {n})) AS columns FROM {n}"""
+          for n in ("events", "part", "lineitem", "documents")))

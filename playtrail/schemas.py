@@ -22,6 +22,13 @@ PLAYS = T.StructType([
 # Uploaded history carries a generated id in front.
 PLAYS_WITH_ID = T.StructType([T.StructField("id", T.LongType()), *PLAYS.fields])
 
+# As stored: bulk loads have no id, and the last two columns are the partition columns.
+PLAYS_STORED = T.StructType([
+    *PLAYS_WITH_ID.fields,
+    T.StructField("load_id", T.StringType()),
+    T.StructField("play_date", T.DateType()),
+])
+
 TRACKS = T.StructType([
     T.StructField("track_uri", T.StringType()),
     T.StructField("track", T.StringType()),

@@ -19,6 +19,16 @@ SETTINGS = {
 }
 
 
+def cluster_settings(total_cores: int, largest_shuffle_gb: int = 0) -> dict[str, str]:
+    """Extra settings for a cluster: enough shuffle partitions for the cores and for the data.
+
+    A partition starts at about 200 MB at most; adaptive execution merges those that turn out small.
+    Range partitions, which order the plays, use the same number.
+    """
+    partitions = max(3 * total_cores, 5 * largest_shuffle_gb)
+    return {"spark.sql.shuffle.partitions": str(partitions)}
+
+
 def build_session(app="playtrail", master=None, extra=None) -> SparkSession:
     builder = SparkSession.builder.appName(app)
     if master:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from playtrail.functions import calendar
 from playtrail.plans.ordered import number_rows
-from playtrail.schemas import TABLES, require_columns
+from playtrail.schemas import PLAYS_STORED, TABLES, require_columns
 
 LOAD_MODES = ("if_empty", "append", "replace_all")
 
@@ -28,16 +28,21 @@ CSV_OPTIONS = {
 CSV_READ_OPTIONS = {**CSV_OPTIONS, "nullValue": "\0"}
 
 
-def read_table(spark: SparkSession, path: str) -> DataFrame | None:
+def read_table(spark: SparkSession, path: str, schema=None) -> DataFrame | None:
     """The table at ``path``, or None when nothing has been written there."""
     try:
-        return spark.read.parquet(path)
+        return (spark.read.schema(schema) if schema else spark.read).parquet(path)
     except AnalysisException as error:
         if error.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
             return None
         raise
 
 
+def read_plays(spark: SparkSession, path: str) -> DataFrame | None:
+    """All loads of the plays. The fixed schema opens no files, and loads without ids read NULL."""
+    return read_table(spark, path, PLAYS_STORED)
+
+
 def is_empty(spark: SparkSession, path: str) -> bool:
     table = read_table(spark, path)
     return table is None or table.isEmpty()
