@@ -12,14 +12,16 @@ from playtrail.functions import calendar
 from playtrail.functions.numeric import ratio
 from playtrail.functions.text import item_label
 from playtrail.operators.overview import auto_granularity
-from playtrail.plans.collapse import collapse, top, within_top
+from playtrail.plans.collapse import collapse, collapse_by_track, top, within_top
 from playtrail.plans.filters import played, scoped
 
 
-def _by_text(plays, tracks, *keys) -> DataFrame:
-    """Collapsed plays with the genre text of their track."""
-    texts = tracks.select("track_uri", F.col("genres").alias("genre"))
-    return collapse(plays, *keys, "track_uri").join(texts, "track_uri")
+def _texts(tracks: DataFrame) -> DataFrame:
+    return tracks.select("track_uri", F.col("genres").alias("genre"))
+
+
+def _period(unit: str) -> dict:
+    return {"period": calendar.period_start(unit, "ts")}
 
 
 def _named(per_id: DataFrame, genres: DataFrame) -> DataFrame:
@@ -28,9 +30,7 @@ def _named(per_id: DataFrame, genres: DataFrame) -> DataFrame:
 
 def top_genre_text(plays, tracks, filt=None, limit=100) -> DataFrame:
     totals = (
-        _by_text(scoped(plays, filt), tracks, "track")
-        .groupBy("genre", "track")
-        .agg(F.sum("total_ms").alias("total_ms"), F.sum("plays").alias("plays"))
+        collapse_by_track(scoped(plays, filt), _texts(tracks), {"track": F.col("track")}, ["genre"])
         .groupBy("genre")
         .agg(
             F.sum("total_ms").alias("total_ms"),
@@ -44,17 +44,14 @@ def top_genre_text(plays, tracks, filt=None, limit=100) -> DataFrame:
 def artist_popularity(plays, tracks, filt=None, limit=50) -> DataFrame:
     """Mean popularity over the plays of each artist, for the artists played most."""
     rated = F.when(F.col("artist_popularity").isNotNull(), F.col("plays"))
-    return top(
-        collapse(scoped(plays, filt), "artist", "track_uri")
-        .join(tracks.select("track_uri", "artist_popularity"), "track_uri")
+    popularity = ratio(F.sum(F.col("artist_popularity") * F.col("plays")), F.sum(rated))
+    known = tracks.select("track_uri", "artist_popularity")
+    totals = (
+        collapse_by_track(scoped(plays, filt), known, {"artist": F.col("artist")}, ["artist_popularity"])
         .groupBy("artist")
-        .agg(
-            ratio(F.sum(F.col("artist_popularity") * F.col("plays")), F.sum(rated))
-            .alias("artist_popularity"),
-            F.sum("plays").alias("play_count"),
-        ),
-        limit, "play_count", "artist",
+        .agg(popularity.alias("artist_popularity"), F.sum("plays").alias("play_count"))
     )
+    return top(totals, limit, "play_count", "artist")
 
 
 def top_genres(plays, genres, track_genres, filt=None, limit=50) -> DataFrame:
@@ -100,58 +97,44 @@ def _fold_others(periods: DataFrame, rank_by: str, limit: int) -> DataFrame:
 
 
 def genre_text_evolution(plays, tracks, unit="month", filt=None, limit=10) -> DataFrame:
-    periods = (
-        _by_text(scoped(plays, filt), tracks, calendar.period_start(unit, "ts").alias("period"))
-        .groupBy("period", "genre")
-        .agg(F.sum("plays").alias("plays"))
-    )
+    count = [F.count(F.lit(1)).alias("plays")]
+    periods = collapse_by_track(scoped(plays, filt), _texts(tracks), _period(unit), ["genre"], count)
     return _fold_others(periods, "plays", limit)
 
 
-def _genre_periods(plays, genres, track_genres, period) -> DataFrame:
-    per_id = (
-        collapse(plays, period.alias("period"), "track_uri")
-        .join(track_genres, "track_uri")
-        .groupBy("period", "genre_id")
-        .agg(F.sum("plays").alias("plays"), F.sum("total_ms").alias("total_ms"))
-    )
-    return _named(per_id, genres).select("period", "genre", "plays", "total_ms")
-
-
 def genre_evolution(plays, genres, track_genres, unit="month", filt=None, limit=10) -> DataFrame:
     """Plays per period of the genres with most time. ``unit='auto'`` fits the unit to the span."""
     lasted = scoped(plays, played(), filt)
     if unit == "auto":
         fitted = auto_granularity(plays, filt).select("unit").scalar()
         lasted = lasted.withColumn("unit", fitted)
-        period = (
-            F.when(F.col("unit") == "day", calendar.period_start("day", "ts"))
+        period = {
+            "period": F.when(F.col("unit") == "day", calendar.period_start("day", "ts"))
             .when(F.col("unit") == "week", calendar.period_start("week", "ts"))
             .otherwise(calendar.period_start("month", "ts"))
-        )
+        }
     else:
-        period = calendar.period_start(unit, "ts")
-    return _fold_others(_genre_periods(lasted, genres, track_genres, period), "total_ms", limit)
+        period = _period(unit)
+    per_id = collapse_by_track(lasted, track_genres, period, ["genre_id"])
+    periods = _named(per_id, genres).select("period", "genre", "plays", "total_ms")
+    return _fold_others(periods, "total_ms", limit)
 
 
 def genre_text_diversity(plays, tracks, unit="month") -> DataFrame:
     """Distinct genre texts per period."""
-    period = calendar.period_start(unit, "ts").alias("period")
+    count = [F.count(F.lit(1)).alias("plays")]
     return (
-        plays.select(period, "track_uri").distinct()
-        .join(tracks.select("track_uri", "genres"), "track_uri")
+        collapse_by_track(plays, _texts(tracks), _period(unit), ["genre"], count)
         .groupBy("period")
-        .agg(F.count_distinct("genres").alias("genre_count"))
+        .agg(F.count("genre").alias("genre_count"))
     )
 
 
 def genre_diversity(plays, genres, track_genres, unit="month", filt=None) -> DataFrame:
     """Distinct genres per period."""
-    period = calendar.period_start(unit, "ts").alias("period")
+    count = [F.count(F.lit(1)).alias("plays")]
     return (
-        scoped(plays, played(), filt).select(period, "track_uri").distinct()
-        .join(track_genres, "track_uri")
-        .select("period", "genre_id").distinct()
+        collapse_by_track(scoped(plays, played(), filt), track_genres, _period(unit), ["genre_id"], count)
         .join(genres.select("genre_id"), "genre_id", "left_semi")
         .groupBy("period")
         .agg(F.count("genre_id").alias("genre_count"))
@@ -165,12 +148,9 @@ def genre_by_hour(plays, genres, track_genres, filt=None, limit=8) -> DataFrame:
     from one pass over the plays.
     """
     counted = played() if filt is None else played() & filt
-    per_id = (
-        plays.groupBy(calendar.hour("ts").alias("hour"), "track_uri")
-        .agg(F.count_if(counted).alias("count"), F.sum("ms_played").alias("all_ms"))
-        .join(track_genres, "track_uri")
-        .groupBy("hour", "genre_id")
-        .agg(F.sum("count").alias("count"), F.sum("all_ms").alias("all_ms"))
+    measures = [F.count_if(counted).alias("count"), F.sum("ms_played").alias("all_ms")]
+    per_id = collapse_by_track(
+        plays, track_genres, {"hour": calendar.hour("ts")}, ["genre_id"], measures
     )
     hours = within_top(_named(per_id, genres), limit, "genre", "all_ms", "count")
     # Counted plays took time, so the second condition holds whenever the first does.

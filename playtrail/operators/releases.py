@@ -7,21 +7,20 @@ from pyspark.sql import functions as F
 
 from playtrail.functions import calendar
 from playtrail.functions.numeric import ratio
-from playtrail.plans.collapse import collapse
+from playtrail.plans.collapse import collapse, collapse_by_track
 from playtrail.plans.filters import known, sane_release, scoped
 
 
-def _with_release_year(plays: DataFrame, tracks: DataFrame, rule, *keys) -> DataFrame:
-    """Collapsed plays with the release year of their track, for tracks that pass ``rule``."""
-    years = tracks.where(rule).select(
-        "track_uri", calendar.year("album_release_date").alias("release_year")
-    )
-    return collapse(plays, *keys, "track_uri").join(years, "track_uri")
+def _years(tracks: DataFrame, rule) -> DataFrame:
+    """Release years of the tracks that pass ``rule``."""
+    year = calendar.year("album_release_date").alias("release_year")
+    return tracks.where(rule).select("track_uri", year)
 
 
 def release_years(plays, tracks, filt=None, as_of=None) -> DataFrame:
     return (
-        _with_release_year(scoped(plays, filt), tracks, sane_release(as_of=as_of))
+        collapse(scoped(plays, filt), "track_uri")
+        .join(_years(tracks, sane_release(as_of=as_of)), "track_uri")
         .groupBy("release_year")
         .agg(
             F.count("track_uri").alias("unique_tracks"),
@@ -44,21 +43,18 @@ def release_decades(plays, tracks, filt=None, as_of=None) -> DataFrame:
     )
 
 
-def _monthly(plays, tracks, filt, as_of) -> DataFrame:
-    month = calendar.period_start("month", "ts").alias("period")
-    return _with_release_year(scoped(plays, filt), tracks, sane_release(as_of=as_of), month)
-
-
 def release_by_month(plays, tracks, filt=None, as_of=None) -> DataFrame:
-    return _monthly(plays, tracks, filt, as_of).groupBy("period", "release_year").agg(
-        F.sum("plays").alias("count"), F.sum("total_ms").alias("total_ms")
+    month = {"period": calendar.period_start("month", "ts")}
+    years = _years(tracks, sane_release(as_of=as_of))
+    return collapse_by_track(scoped(plays, filt), years, month, ["release_year"]).withColumnRenamed(
+        "plays", "count"
     )
 
 
 def avg_release_year(plays, tracks, filt=None, as_of=None) -> DataFrame:
-    weighted = F.sum(F.col("release_year") * F.col("plays"))
-    return _monthly(plays, tracks, filt, as_of).groupBy("period").agg(
-        ratio(weighted, F.sum("plays")).alias("avg_release_year"),
+    weighted = F.sum(F.col("release_year") * F.col("count"))
+    return release_by_month(plays, tracks, filt, as_of).groupBy("period").agg(
+        ratio(weighted, F.sum("count")).alias("avg_release_year"),
         F.min("release_year").alias("min_release_year"),
         F.max("release_year").alias("max_release_year"),
     )
@@ -66,10 +62,10 @@ def avg_release_year(plays, tracks, filt=None, as_of=None) -> DataFrame:
 
 def same_year_share(plays, tracks, filt=None) -> DataFrame:
     """Per listening year, the share of music released that year; any known date counts."""
-    year = calendar.year("ts").alias("year")
+    years = _years(tracks, known("album_release_date"))
     same = F.when(F.col("year") == F.col("release_year"), F.col("plays")).otherwise(0)
     return (
-        _with_release_year(scoped(plays, filt), tracks, known("album_release_date"), year)
+        collapse_by_track(scoped(plays, filt), years, {"year": calendar.year("ts")}, ["release_year"])
         .groupBy("year")
         .agg(F.sum("plays").alias("total_plays"), F.sum(same).alias("same_year_plays"))
         .withColumn(
