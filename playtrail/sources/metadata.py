@@ -83,16 +83,9 @@ def clean_metadata(rows: DataFrame, strict=True) -> DataFrame:
             return release_day(value.cast("string"), strict)
         return value.cast(field.dataType) if strict else value.try_cast(field.dataType)
 
-    def filled(field):
-        value = typed(field)
-        if field.name in TRACK_DEFAULTS:
-            value = F.coalesce(value, F.lit(TRACK_DEFAULTS[field.name]).cast(field.dataType))
-        return value.alias(field.name)
-
     keep = [LOAD_ORDER] if LOAD_ORDER in rows.columns else []
-    return rows.where(F.col("track_uri").isNotNull()).select(
-        *[filled(f) for f in TRACKS.fields], *keep
-    )
+    known = rows.where(F.col("track_uri").isNotNull())
+    return known.select(*[typed(f).alias(f.name) for f in TRACKS.fields], *keep).fillna(TRACK_DEFAULTS)
 
 
 def last_per_track(rows: DataFrame, order=LOAD_ORDER) -> DataFrame:
@@ -101,7 +94,7 @@ def last_per_track(rows: DataFrame, order=LOAD_ORDER) -> DataFrame:
     return (
         rows.groupBy("track_uri")
         .agg(F.max_by(F.struct(*fields), F.col(order)).alias("row"))
-        .select("track_uri", *[F.col(f"row.{c}").alias(c) for c in fields])
+        .select("track_uri", "row.*")
     )
 
 
@@ -113,8 +106,6 @@ def upsert_tracks(current: DataFrame, incoming: DataFrame, order=LOAD_ORDER) ->
     """
     fields = [c for c in current.columns if c != "track_uri"]
     fresh = last_per_track(incoming, order).select("track_uri", F.struct(*fields).alias("fresh"))
-    both = current.join(fresh, "track_uri", "full_outer")
-    return both.select(
-        "track_uri",
-        *[F.when(F.col("fresh").isNotNull(), F.col(f"fresh.{c}")).otherwise(F.col(c)).alias(c) for c in fields],
-    ).select(*current.columns)
+    row = F.coalesce("fresh", F.struct(*fields)).alias("row")
+    both = current.join(fresh, "track_uri", "full_outer").select("track_uri", row)
+    return both.select("track_uri", "row.*").select(*current.columns)
