@@ -134,7 +134,8 @@ def _upserted(t):
 
 check("metadata_upsert", _upserted,
       sql("""incoming AS (SELECT CAST(l_partkey AS VARCHAR) AS track_uri,
-          CAST(l_quantity AS BIGINT) AS track_popularity, CAST(CAST(l_shipdate AS DATE) AS VARCHAR) AS album_release_date,
+          CAST(l_quantity AS BIGINT) AS track_popularity,
+          CAST(CAST(l_shipdate AS DATE) AS VARCHAR) AS album_release_date,
           ROW_NUMBER() OVER (PARTITION BY l_partkey ORDER BY l_shipdate DESC, l_orderkey DESC,
             l_linenumber DESC, l_extendedprice DESC, l_quantity DESC) AS place FROM lineitem
         UNION ALL SELECT 'o' || CAST(o_custkey AS VARCHAR), LENGTH(o_orderpriority), NULL,

@@ -9,7 +9,7 @@ from checks.registry import check
 from checks.single_table import MS, SKIPS, WEEKEND, item_label_sql, weekend
 from checks.tables import number as r
 from checks.tables import sql
-from playtrail.operators import density, enrich, genres, overview, releases, timeline
+from playtrail.operators import density, enrich, genres, overview, releases
 from playtrail.plans import filters as f
 
 AS_OF = "1999-06-15"
@@ -171,7 +171,8 @@ check("density_genre_proportion",
 check("density_release_year",
       lambda t: density.grouped_density(
           releases.release_by_month(t.li, t.tracks, as_of=AS_OF), "period", "release_year", 1950, 2000, 25, 4.0),
-      sql(f"by_month AS ({_BY_MONTH}), {_density_sql('by_month', 'period', 'release_year', 1950.0, 2000.0, 25, 4.0)}", "li"))
+      sql(f"""by_month AS ({_BY_MONTH}),
+        {_density_sql("by_month", "period", "release_year", 1950.0, 2000.0, 25, 4.0)}""", "li"))
 check("density_same_year_percentage",
       lambda t: density.grouped_density(
           releases.same_year_share(t.li, t.tracks), "year", "percentage", 0, 10, 40, 0.5),

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from checks.tables import Tables
 from playtrail.functions import calendar, text
 from playtrail.operators import genres, rankings, releases, repetition, shares, timeline
+from playtrail.operators.overview import auto_granularity
 from playtrail.plans import filters as f
 from playtrail.plans.ordered import number_rows
 
@@ -82,6 +83,34 @@ def test_periods_do_not_depend_on_the_session_zone(spark):
         spark.conf.set("spark.sql.session.timeZone", "UTC")
 
 
+def test_granularity_counts_elapsed_days(spark):
+    def fitted(*stamps):
+        return tuple(auto_granularity(_at(spark, *stamps)).select("span_days", "unit").first())
+
+    assert fitted("2024-01-01T23:00:00", "2024-03-01T01:00:00") == (59, "day")
+    assert fitted("2024-01-01T01:00:00", "2024-03-01T01:00:00") == (60, "week")
+    assert fitted("2023-01-01T01:00:00", "2024-01-01T00:59:59") == (364, "week")
+    assert fitted("2023-01-01T01:00:00", "2024-01-01T01:00:00") == (365, "month")
+
+
+def test_a_play_counts_once_for_each_genre_of_its_track(spark):
+    at = dt.datetime(2024, 1, 1, 6)
+    plays = spark.createDataFrame(
+        [(at, "u1", 10), (at, "u1", 0), (at, "u2", 5), (at, None, 9), (at, "gone", 9)],
+        "ts timestamp_ntz, track_uri string, ms_played bigint")
+    bridge = spark.createDataFrame([("u1", 1), ("u1", 2), ("u2", 2)], "track_uri string, genre_id bigint")
+    names = spark.createDataFrame([(1, "a"), (2, "b")], "genre_id bigint, name string")
+    for threshold in (10_000_000_000, -1):
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+        try:
+            hours = genres.genre_by_hour(plays, names, bridge).collect()
+            periods = genres.genre_evolution(plays, names, bridge, limit=1).collect()
+        finally:
+            spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        assert sorted((r.hour, r.genre, r["count"]) for r in hours) == [(6, "a", 1), (6, "b", 2)]
+        assert sorted((r.genre, r.plays, r.total_ms) for r in periods) == [("Other", 1, 10), ("b", 2, 15)]
+
+
 def test_texts(spark):
     ms = [0, 59_999, 60_000, 3_600_000, 90_061_000, 2_630_017_000, 2_630_017_000 + 43_200_000, None]
     df = spark.createDataFrame([(m,) for m in ms], "ms bigint")
