@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from playtrail.llm import simhash
+from pyspark.sql import functions as F
+
+from playtrail.llm import decontaminate, langid, simhash
 from playtrail.llm.shared import table
 
 QUERIES: dict = {}
@@ -14,6 +16,20 @@ def query(build):
     return build
 
 
+@query
+def op1_decontaminate_tiling(spark, sf_dir):
+    found = decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", F.round("coverage", 6).alias("coverage"),
+                        F.size("tiles").cast("bigint").alias("n_tiles"))
+
+
+@query
+def op3_language_id(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    found = langid.identify(docs.select("doc_id", "text"), langid.fit(docs))
+    return found.select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "rejected")
+
+
 @query
 def op9_simhash_near_duplicates(spark, sf_dir):
     groups = simhash.near_duplicate_groups(table(spark, sf_dir, "documents"))
