@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import functions as F
 
-from playtrail.llm import decontaminate, langid, simhash
+from playtrail.llm import bpe, decontaminate, langid, simhash
 from playtrail.llm.shared import table
 
 QUERIES: dict = {}
@@ -34,3 +35,13 @@ def op3_language_id(spark, sf_dir):
 def op9_simhash_near_duplicates(spark, sf_dir):
     groups = simhash.near_duplicate_groups(table(spark, sf_dir, "documents"))
     return groups.select("doc_id", simhash.hex_of(groups["fp"]).alias("fingerprint"), "component_id")
+
+
+@query
+def op10_byte_level_bpe(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    found = bpe.encode_decode(docs, ranks, public_tokenizers.PATTERN)
+    return found.select(
+        "doc_id", (F.length("ids") / 4).cast("bigint").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
