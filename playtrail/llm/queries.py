@@ -5,8 +5,9 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from playtrail.llm import bpe, decontaminate, langid, simhash
+from playtrail.llm import bpe, decontaminate, langid, simhash, tokenfile
 from playtrail.llm.shared import table
+from playtrail.session import scratch_path
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -24,6 +25,14 @@ def op1_decontaminate_tiling(spark, sf_dir):
                         F.size("tiles").cast("bigint").alias("n_tiles"))
 
 
+@query
+def op2_token_files(spark, sf_dir):
+    path = scratch_path(spark, "tokens")
+    docs = table(spark, sf_dir, "documents")
+    tokenfile.write_tokens(docs, path, public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
+    return tokenfile.read_tokens(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 @query
 def op3_language_id(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
