@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from playtrail.llm import bpe, decontaminate, langid, simhash, tokenfile
+from playtrail.llm import bpe, decontaminate, langid, pii, simhash, tokenfile
 from playtrail.llm.shared import table
 from playtrail.session import scratch_path
 
@@ -40,6 +40,22 @@ def op3_language_id(spark, sf_dir):
     return found.select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "rejected")
 
 
+def _shown(spans):
+    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["stop"])), ",")
+
+
+def _counted(spans, kinds):
+    return [F.size(F.filter(spans, lambda s, k=k: s["kind"] == k)).cast("bigint").alias(f"n_{k}") for k in kinds]
+
+
+@query
+def op7_pii_bilstm_crf(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = pii.find(docs, pii.fit(docs))
+    return found.select("doc_id", *_counted("base", pii.KINDS), F.sha2(_shown("base"), 256).alias("base_sha256"),
+                        _shown(pii.all_spans()).alias("spans"))
+
+
 @query
 def op9_simhash_near_duplicates(spark, sf_dir):
     groups = simhash.near_duplicate_groups(table(spark, sf_dir, "documents"))
