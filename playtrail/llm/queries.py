@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from playtrail.llm import bpe, decontaminate, langid, pii, simhash, tokenfile
+from playtrail.llm import ann, bpe, decontaminate, langid, pii, simhash, tokenfile
 from playtrail.llm.shared import table
 from playtrail.session import scratch_path
 
@@ -40,6 +40,11 @@ def op3_language_id(spark, sf_dir):
     return found.select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "rejected")
 
 
+@query
+def op4_nearest_by_collisions(spark, sf_dir):
+    return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def _shown(spans):
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["stop"])), ",")
 
