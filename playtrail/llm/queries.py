@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from playtrail.llm import ann, bpe, decontaminate, langid, pii, simhash, tokenfile
+from playtrail.llm import ann, bpe, decontaminate, langid, pii, simhash, tokenfile, urltree
 from playtrail.llm.shared import table
 from playtrail.session import scratch_path
 
@@ -45,6 +45,61 @@ def op4_nearest_by_collisions(spark, sf_dir):
     return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
+# The fixed rules of the query.
+URL_RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
+
+
+@query
+def op6_url_template_tree(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    return urltree.judge(pages, URL_RULES).select("page_id", "host", "path", "rule", "verdict", "template")
+
+
+def _url_sql() -> str:
+    """The query above in DuckDB, level by level."""
+    names = [f"s{i}" for i in range(urltree.DEPTH)]
+
+    def shaped(s):
+        return (f"CASE WHEN regexp_full_match({s}, '[0-9]+') THEN '<n>' "
+                f"WHEN regexp_full_match({s}, '[0-9]+\\.[A-Za-z0-9]+') THEN '<n>.' || regexp_extract({s}, '\\.([^.]*)$', 1) "
+                f"WHEN regexp_matches({s}, '[0-9]') THEN '<id>' ELSE {s} END")
+
+    columns = [f"{shaped(f'parts[{i + 1}]')} AS s{i}" for i in range(urltree.DEPTH - 1)]
+    columns.append(f"CASE WHEN len(parts) > {urltree.DEPTH} THEN '**' ELSE {shaped(f'parts[{urltree.DEPTH}]')} END AS s{urltree.DEPTH - 1}")
+    rules = ""
+    for verdict, rule in sorted(URL_RULES, key=lambda r: -len(r[1])):
+        host, slash, rest = rule.partition("/")
+        rules += f" WHEN (host = '{host}' OR ends_with(host, '.{host}')) AND starts_with(path, '{slash}{rest}') THEN '{rule}'"
+    verdicts = " ".join(f"WHEN '{r}' THEN '{v}'" for v, r in URL_RULES)
+    parts = [f"""u AS (SELECT page_id, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 1),
+      '{urltree._UPPER}', '{urltree._LOWER}') AS host,
+      regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 2) AS path FROM pages)""",
+             f"""r AS (SELECT *, list_filter(string_split(path, '/'), lambda s: s <> '') AS parts, CASE{rules} END AS rule FROM u)""",
+             f"""v AS (SELECT *, CASE rule {verdicts} END AS given, {", ".join(columns)} FROM r)""",
+             f"""t0 AS (SELECT host, {", ".join(names)}, count(*) AS urls, count(given) AS labelled,
+      count_if(given = 'block') AS bad, '' AS node FROM v GROUP BY ALL)"""]
+    for i, name in enumerate(names):
+        share = "(nb / nullif(nl, 0))"
+        parts += [
+            f"b{i} AS (SELECT host, node, {name}, sum(urls) AS urls, sum(labelled) AS labelled, sum(bad) AS bad FROM t{i} GROUP BY ALL)",
+            f"w{i} AS (SELECT host, node, sum(labelled) AS nl, sum(bad) AS nb FROM b{i} GROUP BY ALL)",
+            f"""j{i} AS (SELECT b.host, b.node, b.{name} AS seg, CASE WHEN b.{name} IS NULL THEN '' WHEN urls < {urltree.SUPPORT}
+      OR coalesce(abs(bad / nullif(labelled, 0) - {share}) <= {urltree.DEVIATIONS} * sqrt({share} * (1 - {share}) / nullif(labelled, 0)), false)
+      THEN '/*' ELSE '/' || b.{name} END AS step FROM b{i} b JOIN w{i} w ON b.host = w.host AND b.node = w.node)""",
+            f"""t{i + 1} AS (SELECT t.* REPLACE (t.node || j.step AS node) FROM t{i} t JOIN j{i} j
+      ON t.host = j.host AND t.node = j.node AND t.{name} IS NOT DISTINCT FROM j.seg)"""]
+    unknown = f"((n.urls - n.labelled) * {urltree.UNLABELLED})"
+    last, same = f"t{urltree.DEPTH}", " AND ".join(f"v.{n} IS NOT DISTINCT FROM t.{n}" for n in names)
+    parts.append(f"n AS (SELECT host, node, sum(urls) AS urls, sum(labelled) AS labelled, sum(bad) AS bad FROM {last} GROUP BY ALL)")
+    return "WITH " + ",\n".join(parts) + f"""
+SELECT v.page_id, v.host, v.path, v.rule, t.node AS template,
+  coalesce(v.given, CASE WHEN (n.bad + {unknown} / 2 + 1) / (n.labelled + {unknown} + 2) > {urltree.REJECT} THEN 'block' ELSE 'allow' END) AS verdict
+FROM v JOIN {last} t ON v.host = t.host AND {same} JOIN n ON n.host = t.host AND n.node = t.node"""
+
+
+ORACLES["op6_url_template_tree"] = _url_sql()
+
+
 def _shown(spans):
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["stop"])), ",")
 
