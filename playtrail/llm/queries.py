@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from playtrail.llm import ann, bpe, decontaminate, langid, pii, simhash, tokenfile, urltree
+from playtrail.llm import ann, bpe, decontaminate, langid, pii, revisits, simhash, tokenfile, urltree
 from playtrail.llm.shared import table
 from playtrail.session import scratch_path
 
@@ -45,6 +45,60 @@ def op4_nearest_by_collisions(spark, sf_dir):
     return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
+@query
+def op5_warc_revisits(spark, sf_dir):
+    found = revisits.resolve(revisits.captures(table(spark, sf_dir, "pages")))
+    return found.select("record_id", "canonical", "ts", "outcome", "full_id",
+                        revisits.header_text(F.col("headers")).alias("headers"))
+
+
+_CAPTURES = """c AS (
+  SELECT page_id * 4 + visit AS record_id, page_id % 1000 + page_id % 7 + visit * 1000 AS ts, visit, page_id,
+    (visit = 0 AND page_id % 11 <> 0) OR (visit = 2 AND page_id % 5 = 0) AS full_response,
+    CASE WHEN visit >= 2 AND page_id % 5 = 0 THEN 1 ELSE 0 END AS version,
+    split_part(url, '#', 1) AS base, regexp_extract(url, '(?s)#.*') AS fragment, url, html
+  FROM pages CROSS JOIN (SELECT unnest([0, 1, 2, 3]) AS visit)),
+d AS (
+  SELECT *, '"' || md5(html || version) || '"' AS tag,
+    CASE visit WHEN 1 THEN base || '#again' WHEN 2 THEN regexp_replace(url, '^https?://', 'HTTP://')
+      WHEN 3 THEN base || CASE WHEN contains(base, '?') THEN '&' ELSE '?' END || 'utm_campaign=x' || fragment ELSE url END AS seen,
+    CASE WHEN page_id % 2 = 0 THEN 'day ' || version END AS modified FROM c),
+e AS (
+  SELECT *, regexp_replace(regexp_replace(seen, '(?s)#.*', ''), '^[A-Za-z][A-Za-z0-9+.-]*://', '') AS rest,
+    CASE WHEN page_id % 13 = 0 THEN NULL WHEN visit = 3 AND page_id % 7 = 0 THEN '"other"'
+      WHEN visit = 3 AND page_id % 3 = 0 THEN 'W/' || tag ELSE tag END AS etag FROM d),
+f AS (
+  SELECT *, regexp_replace(regexp_replace(lower(regexp_extract(rest, '^[^/?]*')), '^www\\.', ''), ':(80|443)$', '') AS host,
+    regexp_replace(regexp_extract(rest, '^[^/?]*([^?]*)', 1), '/+$', '') AS path,
+    list_sort(list_filter(string_split(regexp_extract(rest, '(?s)^[^?]*\\?(.*)$', 1), '&'),
+      lambda p: p <> '' AND NOT starts_with(p, 'utm_'))) AS params FROM e),
+g AS (
+  SELECT record_id, ts, full_response, etag, modified, ts::HUGEINT * 1000000000000 + record_id AS place,
+    host || CASE WHEN path = '' THEN '/' ELSE path END
+      || CASE WHEN len(params) > 0 THEN '?' || array_to_string(params, '&') ELSE '' END AS canonical,
+    ts::VARCHAR AS h_date, CASE WHEN visit <> 1 THEN 'max-age=' || visit * 60 END AS h_cache,
+    CASE WHEN full_response THEN length(html)::VARCHAR END AS h_length,
+    CASE WHEN full_response THEN 'text/html' WHEN page_id % 4 = 0 THEN 'text/plain' END AS h_type,
+    CASE WHEN visit = 2 THEN 'a=b' END AS h_cookie, CASE WHEN visit = 3 THEN 'accept' END AS h_vary FROM f)"""
+
+ORACLES["op5_warc_revisits"] = f"""WITH {_CAPTURES},
+j AS (
+  SELECT r.*, o.record_id AS full_id, CASE WHEN o.record_id IS NULL THEN 'missing'
+      WHEN r.etag IS NOT NULL AND o.etag IS NOT NULL THEN
+        CASE WHEN regexp_replace(r.etag, '^W/', '') = regexp_replace(o.etag, '^W/', '') THEN 'resolved' ELSE 'mismatch' END
+      WHEN r.modified IS NOT NULL AND o.modified IS NOT NULL THEN
+        CASE WHEN r.modified = o.modified THEN 'resolved' ELSE 'mismatch' END
+      ELSE 'unverified' END AS outcome,
+    concat_ws(chr(10), 'cache-control: ' || coalesce(r.h_cache, o.h_cache), 'content-length: ' || o.h_length,
+      'content-type: ' || o.h_type, 'date: ' || coalesce(r.h_date, o.h_date), 'etag: ' || coalesce(r.etag, o.etag),
+      'last-modified: ' || coalesce(r.modified, o.modified), 'set-cookie: ' || o.h_cookie,
+      'vary: ' || coalesce(r.h_vary, o.h_vary)) AS merged
+  FROM (SELECT * FROM g WHERE NOT full_response) r
+  ASOF LEFT JOIN (SELECT * FROM g WHERE full_response) o ON r.canonical = o.canonical AND r.place > o.place)
+SELECT record_id, canonical, ts, outcome, full_id, CASE WHEN outcome IN ('resolved', 'unverified') THEN merged END AS headers
+FROM j"""
+
+
 # The fixed rules of the query.
 URL_RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
 
