@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from playtrail.llm import ann, bpe, decontaminate, langid, pii, revisits, simhash, tokenfile, urltree
+from playtrail.llm import ann, bpe, decontaminate, langid, pii, revisits, secrets, simhash, tokenfile, urltree
 from playtrail.llm.shared import table
 from playtrail.session import scratch_path
 
@@ -159,7 +159,10 @@ def _shown(spans):
 
 
 def _counted(spans, kinds):
-    return [F.size(F.filter(spans, lambda s, k=k: s["kind"] == k)).cast("bigint").alias(f"n_{k}") for k in kinds]
+    def of(kind):
+        return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
+
+    return [of(k) for k in kinds]
 
 
 @query
@@ -170,6 +173,13 @@ def op7_pii_bilstm_crf(spark, sf_dir):
                         _shown(pii.all_spans()).alias("spans"))
 
 
+@query
+def op8_secret_linking(spark, sf_dir):
+    found = secrets.find(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", *_counted("base", secrets.KINDS[:3]), F.sha2(_shown("base"), 256).alias("base_sha256"),
+                        _shown(secrets.all_spans()).alias("spans"))
+
+
 @query
 def op9_simhash_near_duplicates(spark, sf_dir):
     groups = simhash.near_duplicate_groups(table(spark, sf_dir, "documents"))
