@@ -139,7 +139,7 @@ def find(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFrame:
 
     Null texts count as empty. Rows of one id are told apart by their text; null ids are kept.
     """
-    searched = written(_searched(docs, id_col, text_col), "secret-parts")
+    searched = written(_searched(docs, id_col, text_col), "credential-parts")
     added = (
         links(searched).select("id", "key", F.struct(
             F.concat(F.lit("weak_"), "role").alias("kind"), "start", "stop").alias("span")).distinct()

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from playtrail.llm import ann, bpe, decontaminate, langid, pii, revisits, secrets, simhash, tokenfile, urltree
+from playtrail.llm import ann, bpe, credentials, decontaminate, langid, pii, revisits, simhash, tokenfile, urltree
 from playtrail.llm.shared import table
 from playtrail.session import scratch_path
 
@@ -175,9 +175,9 @@ def op7_pii_bilstm_crf(spark, sf_dir):
 
 @query
 def op8_secret_linking(spark, sf_dir):
-    found = secrets.find(table(spark, sf_dir, "documents"))
-    return found.select("doc_id", *_counted("base", secrets.KINDS[:3]), F.sha2(_shown("base"), 256).alias("base_sha256"),
-                        _shown(secrets.all_spans()).alias("spans"))
+    found = credentials.find(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", *_counted("base", credentials.KINDS[:3]), F.sha2(_shown("base"), 256).alias("base_sha256"),
+                        _shown(credentials.all_spans()).alias("spans"))
 
 
 @query
