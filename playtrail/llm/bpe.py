@@ -2,11 +2,12 @@
 
 Encoding. The words of a batch (matches of the pattern) that are no token themselves become rows (word, position,
 token), one per byte. Each round of the recursion joins neighbouring tokens to the merge table, takes each word's
-minimum rank, and contracts its leftmost pair of that rank, until no word has a pair left. Where no merge that
-contains the new token ranks below it, the word's further pairs of that rank must follow at once, and the round
-contracts them too, left to right and without overlap; so a long word of repeats takes few rounds.
+minimum rank, and contracts its leftmost pair of that rank, until no word has a pair left. In words of more than
+``LONG`` bytes, where no merge that contains the new token ranks below it, the word's further pairs of that rank must
+follow at once, and the round contracts them too, left to right and without overlap; the result is the same, and a long
+word takes a round per rank instead of one per token.
 
-Decoding. The ids of a text, cut before tokens that begin with a space, become rows (piece, position, token), joined
+Decoding. The ids of a text, cut before tokens that begin with a space or a mark, become rows (piece, position, token), joined
 to the bytes of each token and gathered in order.
 
 Spark partitions the texts; DuckDB sees blocks of bounded size, and pieces seen before are remembered.
@@ -23,15 +24,36 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from playtrail.llm.pieces import LONGEST_KEPT, PieceCoder
+from playtrail.llm.pieces import LONGEST_KEPT, PieceCoder, word_and_marks
 from playtrail.llm.shared import process_cache
 
 # Texts are worked on in groups of about so many characters, words and pieces in blocks of so many bytes or tokens.
 GROUP_CHARS = 2_000_000
 BLOCK_ROWS = 400_000
-KEPT_PIECES = 250_000
+KEPT_WORDS = 600_000
+KEPT_DECODED = 400_000
+LONG = 64
 
+# One contraction per word and round.
 _ENCODE = """
+WITH RECURSIVE state(w, pos, tok) USING KEY (w, pos) AS (
+  SELECT w, pos, tok FROM seed
+  UNION ALL
+  (WITH live AS (
+     SELECT w, pos, tok, lead(tok) OVER s AS nxt, lead(pos) OVER s AS nxt_pos
+     FROM state WHERE tok IS NOT NULL WINDOW s AS (PARTITION BY w ORDER BY pos)),
+   pairs AS (
+     SELECT w, pos, tok, nxt_pos, rank::BIGINT * 16777216 + pos AS place
+     FROM live LEFT JOIN merges ON pair = tok::BIGINT * 16777216 + nxt),
+   least AS (SELECT w, min(place) AS place, arg_min(nxt_pos, place) AS gone FROM pairs WHERE place IS NOT NULL GROUP BY w)
+   SELECT w, pos, CASE WHEN p.place = l.place THEN (l.place // 16777216)::INTEGER WHEN pos <> gone THEN tok END
+   FROM pairs p JOIN least l USING (w))
+)
+SELECT w, tok FROM state WHERE tok IS NOT NULL ORDER BY w, pos
+"""
+
+# All contractions of a round that must follow one another at once, for long words.
+_ENCODE_LONG = """
 WITH RECURSIVE state(w, pos, tok) USING KEY (w, pos) AS (
   SELECT w, pos, tok FROM seed
   UNION ALL
@@ -98,8 +120,9 @@ class DuckBpe:
         self.con.execute("CREATE TABLE vocabulary AS SELECT * FROM given")
         self.con.unregister("given")
         self.single = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
-        self.spaced = np.zeros(max(tokens) + 1, bool)
-        self.spaced[[value for value, token in tokens.items() if token[:1] == b" "]] = True
+        # Decoding may cut anywhere; before spaces and marks the pieces are mostly words.
+        self.starts = np.zeros(max(tokens) + 1, bool)
+        self.starts[[v for v, token in tokens.items() if token[0] < 128 and not token[:1].isalnum()]] = True
         self.coder = PieceCoder(self._encode_pieces, self.words)
         self.word_ids: dict[str, bytes] = {}
         self.decoded: dict[bytes, bytes] = {}
@@ -109,9 +132,9 @@ class DuckBpe:
         return self.coder.code(texts)
 
     def _encode_pieces(self, pieces: list[str]) -> list[bytes]:
-        if len(self.word_ids) > KEPT_PIECES:
+        if len(self.word_ids) > KEPT_WORDS:
             self.word_ids = {}
-        cut = [self.words(p) for p in pieces]
+        cut = [word_and_marks(p) or self.words(p) for p in pieces]
         known = self.word_ids
         new = list(dict.fromkeys(w for words in cut for w in words if w not in known))
         hard = []
@@ -121,15 +144,17 @@ class DuckBpe:
                 hard.append(word)
             else:
                 known[word] = rank.to_bytes(4, "little")
-        for block in _blocks(hard, lambda w: 4 * len(w)):
-            known.update(zip(block, self._merge([w.encode() for w in block])))
+        for sql, some in ((_ENCODE, [w for w in hard if len(w.encode()) <= LONG]),
+                          (_ENCODE_LONG, [w for w in hard if len(w.encode()) > LONG])):
+            for block in _blocks(some, len):
+                known.update(zip(block, self._merge([w.encode() for w in block], sql)))
         out = [b"".join(map(known.__getitem__, words)) for words in cut]
         for word in hard:
             if len(word) > LONGEST_KEPT:
                 del known[word]
         return out
 
-    def _merge(self, words: list[bytes]) -> list[bytes]:
+    def _merge(self, words: list[bytes], sql: str) -> list[bytes]:
         sizes = np.array([len(w) for w in words])
         starts = np.cumsum(sizes) - sizes
         w = np.repeat(np.arange(len(words), dtype=np.int32), sizes)
@@ -137,7 +162,7 @@ class DuckBpe:
             "w": w, "pos": (np.arange(sizes.sum()) - np.repeat(starts, sizes)).astype(np.int32),
             "tok": self.single[np.frombuffer(b"".join(words), np.uint8)]})
         self.con.register("seed", seed)
-        found = self.con.execute(_ENCODE).fetchnumpy()
+        found = self.con.execute(sql).fetchnumpy()
         self.con.unregister("seed")
         ends = np.cumsum(np.bincount(np.asarray(found["w"]), minlength=len(words))) * 4
         ids = np.asarray(found["tok"]).astype("<u4").tobytes()
@@ -145,14 +170,14 @@ class DuckBpe:
 
     def decode(self, coded: list[bytes]) -> list[bytes]:
         """The bytes of each list of ids. An id that is no token is an error."""
-        if len(self.decoded) > KEPT_PIECES:
+        if len(self.decoded) > KEPT_DECODED:
             self.decoded = {}
         known, cut = self.decoded, []
         for ids in coded:
             values = np.frombuffer(ids, "<u4")
-            if len(values) and values.max() >= len(self.spaced):
+            if len(values) and values.max() >= len(self.starts):
                 raise ValueError(f"no such token: {values.max()}")
-            edges = (np.flatnonzero(self.spaced[values]) * 4).tolist()
+            edges = (np.flatnonzero(self.starts[values]) * 4).tolist()
             edges = [0, *edges] if not edges or edges[0] else edges
             cut.append([ids[a:b] for a, b in zip(edges, [*edges[1:], len(ids)])] if len(ids) else [])
         new = list(dict.fromkeys(p for pieces in cut for p in pieces if p not in known))
@@ -172,11 +197,17 @@ class DuckBpe:
             "w": np.repeat(np.arange(len(pieces), dtype=np.int32), sizes),
             "pos": (np.arange(len(tokens)) - np.repeat(starts, sizes)).astype(np.int32), "tok": tokens.astype(np.int32)})
         self.con.register("seed", seed)
-        texts = [t for _, t in self.con.execute(_DECODE).fetchall()]
+        texts = self.con.sql(_DECODE).to_arrow_table().column("text").combine_chunks()
         self.con.unregister("seed")
         if len(texts) != len(pieces):
             raise ValueError("ids that are no tokens")
-        return [(np.frombuffer(t.encode("utf-16-le"), "<u2") - 256).astype(np.uint8).tobytes() for t in texts]
+        # Every character is two bytes of UTF-8: 110000xx or 110001xx, then 10xxxxxx.
+        texts = texts.cast(pa.large_string())
+        offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset:texts.offset + len(texts) + 1]
+        pairs = np.frombuffer(texts.buffers()[2], np.uint8)[offsets[0]:offsets[-1]].reshape(-1, 2)
+        plain = ((pairs[:, 0] << 6) | (pairs[:, 1] & 63)).tobytes()
+        edges = ((offsets - offsets[0]) // 2).tolist()
+        return [plain[a:b] for a, b in zip(edges, edges[1:])]
 
 
 def _blocks(items: list, size):

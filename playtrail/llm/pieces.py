@@ -1,13 +1,17 @@
 """Texts as short pieces that tokenizers treat independently, so that a piece is encoded once per worker.
 
 In a text whose white space is single spaces and line feeds, never two together, every token of the usual
-byte-level pattern lies inside a line feed, or inside a word together with the space before it. Other texts are
-left to the caller.
+byte-level pattern lies inside a line feed, or inside a word together with the space before it. Where full stops and
+commas follow letters or digits only, no token reaches across their front either. Other texts are left to the caller.
 """
 
 from __future__ import annotations
 
-KEPT_CHARS = 3_000_000
+import re
+
+# A full stop or comma that does not follow a letter or digit, and so may belong to the token before it.
+_AFTER_MARK = re.compile(r"[.,](?<=[\W_].)")
+KEPT_CHARS = 4_000_000
 LONGEST_KEPT = 256
 
 
@@ -17,7 +21,21 @@ def pieces_of(text: str) -> list[str] | None:
         return None
     if not text.replace("\n", "").isprintable():
         return None
-    return text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")
+    text = text.replace(" ", "\0 ").replace("\n", "\0\n\0")
+    if not _AFTER_MARK.search(text):
+        text = text.replace(".", "\0.").replace(",", "\0,")
+    return text.split("\0")
+
+
+_MARKS = """!"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"""
+
+
+def word_and_marks(piece: str) -> tuple[str, ...] | None:
+    """A piece that is letters, with or without a space before and ASCII marks behind, as its one or two words; else None."""
+    word = piece.rstrip(_MARKS)
+    if not (word[1:] if word[:1] == " " else word).isalpha():
+        return None
+    return (word, piece[len(word):]) if len(word) < len(piece) else (word,)
 
 
 class PieceCoder:
