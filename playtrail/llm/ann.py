@@ -36,15 +36,15 @@ def rotations(dimensions: int, count: int = PROJECTIONS, seed: int = 29) -> np.n
 
 
 def threshold(dimensions: int, count: int = PROJECTIONS) -> int:
-    """Collisions that a row at distance R reaches but for ``SLACK`` deviations.
+    """Collisions that a row at distance R reaches but for ``SLACK`` binomial deviations.
 
-    Over a whole rotation the squares of the projections sum to R^2, which takes its part from the variance.
+    A coordinate of a random direction has the density (1 - u^2)^((dimensions - 3) / 2), here summed over a fine grid of
+    angles. Projections of one rotation spread less than independent ones, so the deviation is an upper bound.
     """
-    p = math.erf(WIDTH / math.sqrt(2))
-    variance = p * (1 - p)
-    if dimensions <= count:
-        variance -= (2 * WIDTH * math.exp(-WIDTH ** 2 / 2) / math.sqrt(2 * math.pi)) ** 2 / 2
-    return max(1, math.floor(count * p - SLACK * math.sqrt(count * max(variance, 0))))
+    angle = (np.arange(20_000) + 0.5) * (math.pi / 40_000)
+    density = np.cos(angle) ** max(dimensions - 2, 0)
+    p = float(density[np.sin(angle) <= WIDTH / math.sqrt(dimensions)].sum() / density.sum())
+    return max(1, math.floor(count * p - SLACK * math.sqrt(count * p * (1 - p))))
 
 
 class Block:
