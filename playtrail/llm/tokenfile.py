@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from playtrail.llm.pieces import PieceCoder
+from playtrail.llm.pieces import LONGEST_KEPT, PieceCoder, word_and_marks
 from playtrail.llm.shared import process_cache
 
 SAMPLE_DOCS = 600
@@ -32,6 +32,7 @@ DICTIONARY_BYTES = 64 * 1024
 LEVEL = 3
 BLOCK_BYTES = 2_000_000
 GROUP_DOCS = 256
+KEPT_WORDS = 1_000_000
 
 _BLOCKS = (
     "shard int, block int, first_id bigint, last_id bigint, dictionary string, doc_ids array<bigint>, "
@@ -53,15 +54,30 @@ class Encoder:
         before = made.get("pre_tokenizer") or {}
         local = (before.get("type") == "ByteLevel" and before.get("use_regex", True)
                  and not before.get("add_prefix_space") and not made.get("normalizer"))
-        self.coder = PieceCoder(self._encode, lambda text: [text])
+        self.coder = PieceCoder(self._encode_pieces, lambda text: [text])
         self.code = self.coder.code if local else lambda texts: self._encode([t or "" for t in texts])
 
-    def _encode(self, pieces: list[str]) -> list[bytes]:
+        self.known: dict[str, bytes] = {}
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
         from array import array
 
-        found = self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)
+        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [array("I", e.ids).tobytes() for e in found]
 
+    def _encode_pieces(self, pieces: list[str]) -> list[bytes]:
+        """Letters and the marks behind them are separate to the tokenizer too, so words are remembered without marks."""
+        if len(self.known) > KEPT_WORDS:
+            self.known = {}
+        known, cut = self.known, [word_and_marks(p) or (p,) for p in pieces]
+        new = list(dict.fromkeys(w for words in cut for w in words if w not in known))
+        known.update(zip(new, self._encode(new)))
+        out = [b"".join([known[w] for w in words]) for words in cut]
+        for word in new:
+            if len(word) > LONGEST_KEPT:
+                del known[word]
+        return out
+
 
 def _encoder(shared) -> Encoder:
     content = shared.value
