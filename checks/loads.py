@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from checks.registry import check
 from checks.tables import sql
 from playtrail.functions.calendar import country_clock
-from playtrail.operators import overview
-from playtrail.plans.ordered import number_rows
-from playtrail.schemas import TRACKS
+from playtrail.operators import enrich, overview, repetition
+from playtrail.plans.ordered import number_by_position
+from playtrail.schemas import GENRES, PLAYS, TRACK_GENRES, TRACKS
 from playtrail.session import scratch_path
-from playtrail.sources import genres, history, metadata, tables
+from playtrail.sources import genres, history, load, metadata, tables
 from playtrail.streaming import filedrop
 
 _BULK = """SELECT at_second AS ts, ms AS ms_played, 'user ' || CAST(user_id AS VARCHAR) AS artist,
@@ -54,32 +55,72 @@ check("history_load_report", lambda t: history.load_report(t.documents),
           ELSE 'skipped' END AS status
       FROM docs LEFT JOIN counted USING (no)"""))
 check("upload_cleaned",
-      lambda t: history.upload_plays(t.documents.where("body LIKE '[%'"), recover=True),
-      sql("""SELECT CAST(no AS VARCHAR) AS source_file, at_second - CASE country WHEN 'US' THEN INTERVAL 7 HOUR
+      lambda t: history.upload_plays(t.readable_documents, recover=True),
+      sql("""SELECT CAST(no AS VARCHAR) AS source_file, ROW_NUMBER() OVER (PARTITION BY no ORDER BY event_id) - 1 AS position, at_second - CASE country WHEN 'US' THEN INTERVAL 7 HOUR
           WHEN 'GB' THEN INTERVAL 0 HOUR ELSE INTERVAL 1 HOUR END AS ts, 'spotify' AS platform,
         ms AS ms_played, '' AS track, 'user ' || CAST(user_id AS VARCHAR) AS artist, '' AS album,
         CASE WHEN music THEN 'spotify:track:' || json_extract_string(props, '$.k') ELSE '' END AS track_uri,
         'unknown' AS reason_start, COALESCE(reason_end, 'unknown') AS reason_end,
-        event_type IN ('error', 'signup') AS skipped, country FROM items"""))
+        event_type IN ('error', 'signup') AS skipped, country FROM readable_items"""))
 check("country_clock",
       lambda t: t.ev.select("id", "country", country_clock(F.col("ts"), F.col("country")).alias("ts")),
       sql("""SELECT id, country, ts - CASE country WHEN 'US' THEN INTERVAL 7 HOUR
         WHEN 'GB' THEN INTERVAL 0 HOUR ELSE INTERVAL 1 HOUR END AS ts FROM plays"""))
 check("numbered_plays",
-      lambda t: number_rows(t.ev.select("ts", F.col("id").alias("event")), ("ts", "event"), start=1000),
-      sql("SELECT 1000 + ROW_NUMBER() OVER (ORDER BY ts, id) AS id, ts, id AS event FROM plays"))
+      lambda t: number_by_position(history.upload_plays(t.readable_documents, shift_clock=False, recover=True), start=1000)
+      .select("id", "ts", "artist", "ms_played"),
+      sql("""SELECT 1000 + ROW_NUMBER() OVER (ORDER BY CAST(no AS VARCHAR), event_id) AS id, at_second AS ts,
+        'user ' || CAST(user_id AS VARCHAR) AS artist, ms AS ms_played FROM readable_items"""))
+
+
+def _hourly(t):
+    """Bulk plays with many shared times, numbered by their files, which settles their order."""
+    return number_by_position(history.bulk_plays(t.documents)).withColumn("ts", F.date_trunc("hour", "ts").cast("timestamp_ntz"))
+
+
+check("consecutive_repeats_bulk", lambda t: repetition.consecutive_repeats(_hourly(t)),
+      sql("""numbered AS (SELECT DATE_TRUNC('hour', at_second) AS ts, user_id,
+          ROW_NUMBER() OVER (ORDER BY CAST(no AS VARCHAR), event_id) AS id FROM items WHERE music),
+        ordered AS (SELECT ts, user_id, LAG(user_id) OVER (ORDER BY ts, id) AS previous FROM numbered)
+      SELECT CAST(DATE_TRUNC('day', ts) AS TIMESTAMP) AS ts,
+        ROUND(AVG(CASE WHEN user_id = previous THEN 1.0 WHEN user_id <> previous THEN 0.0 END), 6) AS repetitiveness
+      FROM ordered GROUP BY 1"""))
+
+
+def _published(t):
+    """Files dropped in two rounds, published after each and once more."""
+    folder, landing, progress, table = (scratch_path(t.spark, n) for n in ("drop", "landing", "progress", "published"))
+    for part, load in ((0, "first"), (1, "second"), (None, "second"), (None, "third")):
+        if part is not None:
+            documents = t.documents.where(F.col("source_file").cast("bigint") % 2 == part).select("body")
+            documents.write.mode("append").option("maxRecordsPerFile", 1).text(folder)
+            filedrop.ingest(t.spark, folder, landing, progress)
+        assert filedrop.publish(t.spark, landing, table, load, "month") == (load != "third")
+    plays = tables.read_plays(t.spark, table)
+    return plays.select(*_PLAYED, (F.count(F.lit(1)).over(Window.partitionBy("id")) == 1).alias("once"),
+                        F.col("id").between(1, F.lit(plays.count())).alias("within"))
+
+
+check("history_published", _published,
+      sql(_BULK.replace("AS ts,", "AS ts, true AS once, true AS within,", 1)))
 
 
 def _reloaded(t):
-    """Loads repeated in every mode; what is left counts each load once."""
-    path = scratch_path(t.spark, "plays")
+    """Loads repeated in every mode, plain and through whole exports; what is left counts each load once."""
+    path, root, export = (scratch_path(t.spark, n) for n in ("plays", "root", "export"))
     first, second = t.ev, t.li.select("ts", "ms_played", "track_uri")
     assert tables.load_plays(second, path, "old", "replace_all", "month")
-    assert tables.load_plays(first, path, "first", "replace_all", "month")
+    for _ in range(2):
+        assert tables.load_plays(first, path, "first", "replace_all", "month")
     assert not tables.load_plays(first, path, "third", "if_empty", "month")
     for _ in range(2):
         assert tables.load_plays(second, path, "second", "append", "month")
-    return tables.read_table(t.spark, path).groupBy("load_id").agg(
+    t.documents.select("body").write.option("maxRecordsPerFile", 1).text(f"{export}/files")
+    t.tracks.withColumn("album_release_date", F.col("album_release_date").cast("string")).write.parquet(f"{export}/metadata")
+
+    for mode, name in (("if_empty", "a"), ("if_empty", "a"), ("append", "a"), ("append", "b"), ("append", "b"), ("replace_all", "c"), ("replace_all", "c")):
+        load.load_export(t.spark, f"{export}/files", f"{export}/metadata", root, name, mode, "month", files="*.txt")
+    return tables.read_plays(t.spark, path).unionByName(tables.read_plays(t.spark, f"{root}/plays"), allowMissingColumns=True).groupBy("load_id").agg(
         F.count(F.lit(1)).alias("plays"), F.sum("ms_played").alias("total_ms"),
         F.count_distinct("play_date").alias("months"))
 
@@ -87,7 +128,9 @@ def _reloaded(t):
 _LOAD = """SELECT '{name}' AS load_id, COUNT(*) AS plays, CAST(SUM(ms_played) AS BIGINT) AS total_ms,
   COUNT(DISTINCT DATE_TRUNC('month', ts)) AS months FROM plays"""
 check("reload_modes", _reloaded,
-      f"({sql(_LOAD.format(name='first'))}) UNION ALL ({sql(_LOAD.format(name='second'), 'li')})")
+      f"({sql(_LOAD.format(name='first'))}) UNION ALL ({sql(_LOAD.format(name='second'), 'li')}) UNION ALL ("
+      + sql("""SELECT 'c' AS load_id, COUNT(*) AS plays, CAST(SUM(ms) AS BIGINT) AS total_ms,
+        COUNT(DISTINCT DATE_TRUNC('month', at_second)) AS months FROM items WHERE music""") + ")")
 
 # Metadata and genres ---------------------------------------------------------------------------
 
@@ -171,7 +214,8 @@ check("table_scan", lambda t: t.ev, sql("SELECT * FROM plays"))
 _AD_HOC = """SELECT p.artist, COUNT(*) AS plays, CAST(SUM(p.ms_played) AS BIGINT) AS total_ms
   FROM plays p JOIN tracks t ON p.track_uri = t.track_uri
   WHERE t.track_popularity >= 25 AND p.skipped GROUP BY p.artist"""
-check("ad_hoc_sql", lambda t: tables.sql(t.spark, _AD_HOC, {"plays": t.li, "tracks": t.tracks}),
+check("ad_hoc_sql", lambda t: tables.sql(t.spark, _AD_HOC.replace("FROM plays", "FROM {plays}").replace("JOIN tracks", "JOIN {tracks}"),
+                             {"plays": t.li, "tracks": t.tracks}),
       sql(_AD_HOC, "li"))
 
 
@@ -204,3 +248,52 @@ check("listed_tables", _listed,
           f"""SELECT 'listed_{n}' AS table_name, COUNT(*) AS row_count, (SELECT COUNT(*)
             FROM (DESCRIBE SELECT * FROM {n})) AS columns FROM {n}"""
           for n in ("events", "part", "lineitem", "documents")))
+
+
+def _accumulated(t):
+    """The metadata of two exports and an uploaded CSV, all loaded twice: every track is there, and the last row of each stays."""
+    root, work = scratch_path(t.spark, "root"), scratch_path(t.spark, "exports")
+    key = F.col("track_uri").cast("bigint")
+
+    def rows(low, high, name):
+        chosen = t.tracks.where((key % 10 >= low) & (key % 10 < high))
+        return chosen.withColumns({"track": F.concat(F.lit(name), "track"), "album_release_date": F.col("album_release_date").cast("string")})
+
+    for name, low, high in (("a", 0, 5), ("b", 4, 8)):
+        rows(low, high, name).write.parquet(f"{work}/{name}")
+    rows(7, 10, "c").write.options(**tables.CSV_OPTIONS).csv(f"{work}/c")
+    for _ in range(2):
+        for name in "ab":
+            incoming = metadata.clean_metadata(metadata.read_metadata_parquet(t.spark, f"{work}/{name}"))
+            load.publish_tracks(t.spark, incoming, root, name)
+        load.upload_metadata(t.spark, f"{work}/c", root, "c")
+    current = load.read_version(t.spark, root, load.current_version(t.spark, root))["tracks"]
+    return current.select("track_uri", "track", "genres")
+
+
+check("accumulated_tracks", _accumulated,
+      sql("""SELECT track_uri, CASE WHEN CAST(track_uri AS BIGINT) % 10 >= 7 THEN 'c' WHEN CAST(track_uri AS BIGINT) % 10 >= 4 THEN 'b'
+        ELSE 'a' END || track AS track, genres FROM tracks"""))
+
+
+def _defined(t):
+    """The four tables created empty, filled with given data, opened and checked again."""
+    root = scratch_path(t.spark, "defined")
+    made = tables.defined_tables(t.spark, root)
+    assert all(df.isEmpty() for df in made.values())
+    given = {"plays": (t.ev, PLAYS), "tracks": (t.tracks, TRACKS), "genres": (t.genres, GENRES), "track_genres": (t.track_genres, TRACK_GENRES)}
+    for name, (df, schema) in given.items():
+        absent = {f.name: F.lit(None).cast(f.dataType) for f in schema.fields if f.name not in df.columns}
+        typed = df.withColumns(absent).select(*[F.col(f.name).cast(f.dataType) for f in schema.fields])
+        typed.write.mode("append").parquet(f"{root}/{name}")
+    return overview.table_profile(tables.defined_tables(t.spark, root)).drop("is_empty")
+
+
+check("defined_tables", _defined,
+      sql("""names AS (SELECT DISTINCT name FROM track_genres)
+      SELECT 'plays' AS table_name, COUNT(*) AS row_count FROM plays UNION ALL SELECT 'tracks', COUNT(*) FROM tracks
+      UNION ALL SELECT 'genres', COUNT(*) FROM names UNION ALL SELECT 'track_genres', COUNT(*) FROM track_genres"""))
+check("preview",
+      lambda t: enrich.preview(t.ev, 100).join(t.ev.select("id", "track_uri", "ms_played"), ["id", "track_uri", "ms_played"], "left_semi")
+      .agg(F.count(F.lit(1)).alias("rows")),
+      sql("SELECT LEAST(100, COUNT(*)) AS rows FROM plays"))

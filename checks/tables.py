@@ -118,12 +118,19 @@ class Tables:
 
     @cached_property
     def documents(self) -> DataFrame:
-        """Events as export documents of a fixed number of plays; some are cut, some are no JSON.
+        """Events as export documents of a fixed number of plays; some are cut, some are no JSON, some go on after the end.
 
-        Of every five documents two are whole, one is cut inside its last play, one after the last
-        comma, and one is no JSON. Every tenth play is no music. A view has no end reason, a click a
-        null one.
+        Of every ten documents three are whole, one has text behind its array, two are cut inside their last play, two after
+        the last comma, and two are no JSON. Every tenth play is no music. A view has no end reason, a click a null one.
         """
+        return self._documents(broken=True)
+
+    @cached_property
+    def readable_documents(self) -> DataFrame:
+        """The documents without text behind an array and with the last kind whole, so that every one can be read."""
+        return self._documents(broken=False)
+
+    def _documents(self, broken: bool) -> DataFrame:
         kind, no = F.col("event_type"), F.col("no")
         reason = (
             F.when(kind == "error", "forward").when(kind == "signup", "back")
@@ -157,7 +164,8 @@ class Tables:
         body = (
             F.when(no % 5 == 2, F.left(whole, F.length(whole) - 20))
             .when(no % 5 == 3, after_comma)
-            .when(no % 5 == 4, "invalid json")
+            .when((no % 5 == 4) & broken, "invalid json")
+            .when((no % 10 == 5) & broken, F.concat(whole, F.lit(" x")))
             .otherwise(whole)
         )
         return gathered.select(no.cast("string").alias("source_file"), body.alias("body"))
@@ -195,12 +203,13 @@ _TRACKS = """SELECT CAST(p_partkey AS VARCHAR) AS track_uri, p_name AS track,
 _TRACK_GENRES = """SELECT DISTINCT track_uri, name FROM (
     SELECT track_uri, UNNEST(CAST(json(genres) AS VARCHAR[])) AS name FROM tracks WHERE genres <> '')"""
 
+# ``whole``: whether documents that cannot be read, or only up to text behind their array, count with all their items.
 _ITEMS = f"""SELECT *, CAST(event_id // {PLAYS_PER_DOCUMENT} AS BIGINT) AS no,
     event_id % 10 <> 7 AS music, date_trunc('second', ts) AS at_second,
     CAST(FLOOR(value * 1000) AS BIGINT) AS ms, {_COUNTRY} AS country,
     CASE event_type WHEN 'error' THEN 'forward' WHEN 'signup' THEN 'back'
       WHEN 'purchase' THEN 'trackdone' END AS reason_end FROM events
-  QUALIFY CASE no % 5 WHEN 4 THEN false WHEN 0 THEN true WHEN 1 THEN true
+  QUALIFY CASE WHEN no % 5 = 4 THEN {{whole}} WHEN no % 5 = 1 OR no % 10 = 0 THEN true WHEN no % 10 = 5 AND {{whole}} THEN true
     ELSE ROW_NUMBER() OVER (PARTITION BY no ORDER BY event_id DESC) > 1 END"""
 
 
@@ -210,7 +219,8 @@ def sql(body: str, plays: str = "ev") -> str:
         "plays": _EV if plays == "ev" else _LI,
         "tracks": _TRACKS,
         "track_genres": _TRACK_GENRES,
-        "items": _ITEMS,
+        "items": _ITEMS.replace("{whole}", "false"),
+        "readable_items": _ITEMS.replace("{whole}", "true"),
     }
     used = {n for n in tables if n in body} | ({"tracks"} if "track_genres" in body else set())
     head = ",\n".join(f"{n} AS (\n  {q})" for n, q in tables.items() if n in used)

@@ -199,9 +199,18 @@ _ENRICHED = f"""SELECT h.*, CAST(DATE_TRUNC('month', ts) AS TIMESTAMP) AS month,
   CAST(EXTRACT(YEAR FROM ts) AS BIGINT) AS year, CAST(EXTRACT(DOW FROM ts) AS BIGINT) AS weekday,
   CAST(EXTRACT(HOUR FROM ts) AS BIGINT) AS hour, {_FACTS}
   FROM plays h LEFT JOIN {{tracks}} m USING (track_uri)"""
+
+
+def _renamed(tracks):
+    """All tracks, of which every seventeenth goes by a URI that no play has."""
+    other = F.concat(F.lit("other:"), "track_uri")
+    return tracks.withColumn("track_uri", F.when(F.col("track_uri").cast("bigint") % 17 == 0, other).otherwise(F.col("track_uri")))
+
+
 check("enriched_plays",
-      lambda t: enrich.enriched_plays(t.ev, t.tracks.where("track_popularity > 20")),
-      sql(_ENRICHED.format(genres="m.genres", tracks="(SELECT * FROM tracks WHERE track_popularity > 20)")))
+      lambda t: enrich.enriched_plays(t.ev, _renamed(t.tracks)),
+      sql(_ENRICHED.format(genres="m.genres", tracks="""(SELECT * REPLACE (CASE WHEN
+        CAST(track_uri AS BIGINT) % 17 = 0 THEN 'other:' || track_uri ELSE track_uri END AS track_uri) FROM tracks)""")))
 check("enriched_plays_clean", lambda t: enrich.enriched_plays_clean(t.ev, t.tracks),
       sql(_ENRICHED.format(genres=r"regexp_replace(m.genres, '[\[\]\"]', '', 'g')", tracks="tracks")))
 check("plays_with_tracks",

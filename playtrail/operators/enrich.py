@@ -9,6 +9,7 @@ from playtrail.functions import calendar
 from playtrail.functions.text import strip_list_marks
 from playtrail.plans.filters import scoped
 
+# The facts of a track that enriched plays carry, in their order.
 _TRACK_FACTS = (
     "album_release_date",
     "track_popularity",

@@ -1,15 +1,9 @@
 """Aggregates of plays, alone and by what a dimension says about their track.
 
-Analyses that join plays to tracks or genres aggregate afterwards, and their measures are counts and
-sums. Two plans give the same rows, and the size of the dimension decides:
-
-* A dimension below ``spark.sql.autoBroadcastJoinThreshold`` is joined inside the scan stage. Only the
-  few groups of each task are shuffled.
-* A larger one would make the join shuffle every play, with all plays of a hot track in one partition.
-  So plays are first summed up per (key, track): that starts in the scan stage, a track holding a third
-  of all plays leaves each task as one row per key, and the join moves tracks rather than plays.
-
-No broadcast is forced in either plan; Spark still decides by the sizes it measures.
+Analyses that join plays to tracks or genres aggregate afterwards, and their measures are counts and sums. So plays are
+first summed up per (key, track), whatever the dimension's size: that starts in the scan stage, a track holding a third of all
+plays leaves each task as one row per key, and the join moves tracks rather than plays. No broadcast is forced; with
+``playtrail.session.SETTINGS`` only sizes measured at run time lead to one.
 """
 
 from __future__ import annotations
@@ -27,13 +21,6 @@ def _counts():
     return [F.count(F.lit(1)).alias("plays"), F.sum("ms_played").alias("total_ms")]
 
 
-def fits_broadcast(df: DataFrame) -> bool:
-    """Whether Spark's estimate for ``df`` is below its broadcast threshold."""
-    limit = df.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
-    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    return int(str(size)) <= limit
-
-
 def collapse_by_track(plays: DataFrame, tracks: DataFrame, keys: dict, track_keys, measures=None) -> DataFrame:
     """Plays summed up by ``keys`` of the play (name to Column) and ``track_keys`` of its track.
 
@@ -41,10 +28,6 @@ def collapse_by_track(plays: DataFrame, tracks: DataFrame, keys: dict, track_key
     counts for each. ``measures`` are aggregate Columns that add up.
     """
     measures = measures or _counts()
-    if fits_broadcast(tracks):
-        keyed = plays.withColumns({f"_{n}": c for n, c in keys.items()}).join(tracks, "track_uri")
-        groups = [F.col(f"_{n}").alias(n) for n in keys]
-        return keyed.groupBy(*groups, *track_keys).agg(*measures)
     small = plays.groupBy(*[c.alias(n) for n, c in keys.items()], "track_uri").agg(*measures)
     sums = [F.sum(m).alias(m) for m in small.columns[len(keys) + 1:]]
     return small.join(tracks, "track_uri").groupBy(*keys, *track_keys).agg(*sums)

@@ -1,7 +1,8 @@
 """Passes over plays in one global order, without a global window.
 
 A window over the whole history has no partition key, and a window per day puts a busy day in one task.
-Both passes here range-partition on a unique order instead, so no task can be hot whatever the data.
+Numbers follow from the input instead: file and position. The pass over neighbours range-partitions on a unique order,
+(ts, id), so no task can be hot whatever the data.
 """
 
 from __future__ import annotations
@@ -9,8 +10,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from playtrail.session import shared_folder
-
 _SEGMENTS = (
     "day timestamp_ntz, first_ts timestamp_ntz, first_tie bigint, "
     "first_value string, last_value string, pairs bigint, repeats bigint"
@@ -22,33 +21,19 @@ def _in_order(df: DataFrame, order) -> DataFrame:
     return df.repartitionByRange(*keys).sortWithinPartitions(*keys)
 
 
-def number_rows(df: DataFrame, order, start=0, name="id") -> DataFrame:
-    """Consecutive numbers ``start + 1, start + 2, ...`` in the given order; ``start`` may be a Column.
+def number_by_position(df: DataFrame, start=0, file="source_file", position="position", name="id") -> DataFrame:
+    """Consecutive numbers ``start + 1, start + 2, ...`` in the order of files and of positions within a file.
 
-    The ordered rows are checkpointed: their range bounds come from a sample, and a second run of the
-    sample (another job, a lost executor) could draw other bounds. The rest is a count per partition,
-    a running sum over those counts, and a join to them; there is one count per partition, which bounds
-    both the single-task running sum and the broadcast.
+    Positions of a file count from 0 without gaps, so a number is the rows of earlier files plus the position: there is no
+    sort and no sample, and the result does not depend on the partitioning. The running sum has one row per file. A file
+    with a third of all rows is joined by its name; adaptive execution splits it where the sums are not broadcast.
     """
-    spark = df.sparkSession
-    shared_folder(spark)
-    placed = _in_order(df, order).withColumn("_place", F.monotonically_increasing_id()).checkpoint()
-    part = F.shiftright(F.col("_place"), 33)
-    sizes = placed.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_size"))
-    earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select(
-        "_part", F.coalesce(F.sum("_size").over(earlier), F.lit(0)).alias("_offset")
-    )
-    within = F.col("_place").bitwiseAND(F.lit((1 << 33) - 1))
-    first = start if not isinstance(start, int) else F.lit(start)
-    return (
-        placed.withColumn("_part", part)
-        .join(F.broadcast(offsets), "_part")
-        .select(
-            (first + F.col("_offset") + within + 1).cast("bigint").alias(name),
-            *[F.col(c) for c in df.columns],
-        )
-    )
+    sizes = df.groupBy(F.col(file).alias("_file")).agg((F.max(position) + 1).alias("_size"))
+    earlier = Window.orderBy("_file").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select("_file", F.coalesce(F.sum("_size").over(earlier), F.lit(0)).alias("_offset"))
+    number = (F.lit(start) + F.col("_offset") + F.col(position) + 1).cast("bigint").alias(name)
+    kept = [F.col(c) for c in df.columns]
+    return df.join(offsets, df[file].eqNullSafe(offsets["_file"])).select(number, *kept)
 
 
 def day_segments(df: DataFrame, value: str, ts="ts", tie="id") -> DataFrame:

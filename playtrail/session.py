@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import re
+import shutil
 import tempfile
 import uuid
 
@@ -15,6 +18,9 @@ SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # Estimates made before the run do not count what an explode adds. Only measured sizes lead to a broadcast.
+    "spark.sql.autoBroadcastJoinThreshold": "-1",
+    "spark.sql.adaptive.autoBroadcastJoinThreshold": "10m",
     # Aggregates of plays are collapsed map-side first, so shuffle blocks are small;
     # AQE merges them up to this size and splits rebalanced writes above it.
     "spark.sql.adaptive.advisoryPartitionSizeInBytes": "128m",
@@ -41,17 +47,17 @@ def build_session(app="playtrail", master=None, extra=None) -> SparkSession:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """Folder every executor can reach, as named in ``spark.checkpoint.dir``.
+    """Folder every executor can reach: ``spark.checkpoint.dir``, or the one given to ``setCheckpointDir``.
 
-    Only a local master may go without the setting; there a temporary folder is used.
+    Only a session on this machine alone may go without; there a temporary folder is used, which is removed at exit.
     """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
     sc = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if folder is None:
-        if not sc.master.startswith("local"):
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
             raise ValueError("set spark.checkpoint.dir to a folder shared by the cluster")
-        folder = sc.getCheckpointDir() or tempfile.mkdtemp(prefix="playtrail-")
-    if sc.getCheckpointDir() is None:
+        folder = tempfile.mkdtemp(prefix="playtrail-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
         sc.setCheckpointDir(folder)
     return folder
 

@@ -62,6 +62,18 @@ def _cut_after(body: Column, mark: str, keep: int) -> Column:
     return F.when(F.contains(body, F.lit(mark)), F.left(body, size))
 
 
+def _whole_array(text: Column) -> Column:
+    """The items of a text that is one JSON array and nothing else, NULL otherwise.
+
+    The JSON parser stops after the first value and would not notice what follows. So the text is also parsed inside an
+    array and inside an object with a field behind it. Whatever follows the value would have to continue both, and nothing
+    but white space does.
+    """
+    inside = F.from_json(F.concat(F.lit("["), text, F.lit("]")), f"array<{_ITEMS}>")
+    before = F.from_json(F.concat(F.lit('{"value":'), text, F.lit(',"end":1}')), f"value {_ITEMS}, end int")
+    return F.when((F.size(inside) == 1) & (before["end"] == 1), before["value"])
+
+
 def with_items(documents: DataFrame, recover=True) -> DataFrame:
     """(source_file, items): the plays of each document as string maps.
 
@@ -75,7 +87,7 @@ def with_items(documents: DataFrame, recover=True) -> DataFrame:
     text, body = F.col("text"), F.col("body")
     nothing = F.when(text == "null", F.array().cast(_ITEMS))
     if not recover:
-        return trimmed.select("source_file", F.coalesce(nothing, F.from_json(text, _ITEMS)).alias("items"))
+        return trimmed.select("source_file", F.coalesce(nothing, _whole_array(text)).alias("items"))
     object_last = F.length(F.substring_index(text, "}", -1)) < F.length(
         F.substring_index(text, "]", -1)
     )
@@ -84,18 +96,18 @@ def with_items(documents: DataFrame, recover=True) -> DataFrame:
         F.concat(_cut_after(text, "}", 1), F.lit("]")),
     )
     shorter = F.concat(_cut_after(body, "},", 1), F.lit("]"))
-    items = F.coalesce(nothing, F.from_json(closed, _ITEMS), F.from_json(shorter, _ITEMS))
+    items = F.coalesce(nothing, _whole_array(closed), _whole_array(shorter))
     return trimmed.select("source_file", items.alias("items"))
 
 
-def _each_item(parsed: DataFrame) -> DataFrame:
-    """One row per item that is neither null nor empty.
+def _each_item(parsed: DataFrame, keep) -> DataFrame:
+    """One row per item that ``keep`` accepts, with its place among those of its file, from 0 without gaps.
 
     The outer explode matters: for a plain one Spark adds a check that the array is filled, and that
     check would parse every document again.
     """
-    item = F.col("item")
-    return parsed.select("source_file", F.explode_outer("items").alias("item")).where(F.size(item) > 0)
+    kept = parsed.select("source_file", F.filter("items", keep).alias("items"))
+    return kept.select("source_file", F.posexplode_outer("items").alias("position", "item")).where("item IS NOT NULL")
 
 
 def _field(item: Column, name: str) -> Column:
@@ -131,17 +143,14 @@ def bulk_plays(documents: DataFrame) -> DataFrame:
     Items whose time or duration cannot be read are left out; ``load_report`` counts them.
     """
     item = F.col("item")
+    readable = with_items(documents)
     typed = {
         "ts": _field(item, "ts").try_cast("timestamp_ntz"),
         "ms_played": _whole_number(_field(item, "ms_played")),
         "skipped": _skipped_by_reason(item),
     }
-    return (
-        _each_item(with_items(documents))
-        .where(is_music(item) & ~_unreadable(item))
-        .select(
-            *[typed.get(n, _field(item, n)).alias(n) for n in PLAYS.fieldNames()], "source_file"
-        )
+    return _each_item(readable, lambda i: is_music(i) & ~_unreadable(i)).select(
+        *[typed.get(n, _field(item, n)).alias(n) for n in PLAYS.fieldNames()], "source_file", "position"
     )
 
 
@@ -174,7 +183,7 @@ def load_report(documents: DataFrame) -> DataFrame:
 def upload_plays(documents: DataFrame, shift_clock=True, recover=False) -> DataFrame:
     """Plays of uploaded documents with every gap filled and the clock moved by country.
 
-    All items with any field are kept, music or not. A document that is no JSON array, or a time that cannot be read,
+    Every item that is no null is kept, music or not, with fields or without. A document that is no JSON array, or a time that cannot be read,
     fails the job. With ``recover`` truncated documents are cut as in the bulk load, and only hopeless
     ones fail.
     """
@@ -183,7 +192,7 @@ def upload_plays(documents: DataFrame, shift_clock=True, recover=False) -> DataF
     readable = with_items(documents, recover).select(
         "source_file", F.when(items.isNull(), refused.cast(_ITEMS)).otherwise(items).alias("items")
     )
-    rows = _each_item(readable)
+    rows = _each_item(readable, lambda i: i.isNotNull())
     item = F.col("item")
     raw = {n: _field(item, n) for n in PLAYS.fieldNames()}
     typed = {
@@ -197,7 +206,7 @@ def upload_plays(documents: DataFrame, shift_clock=True, recover=False) -> DataF
         n: F.coalesce(typed[n], F.lit(UPLOAD_DEFAULTS[n])) if n in UPLOAD_DEFAULTS else typed[n]
         for n in PLAYS.fieldNames()
     }
-    plays = rows.select(*[c.alias(n) for n, c in filled.items()], "source_file")
+    plays = rows.select(*[c.alias(n) for n, c in filled.items()], "source_file", "position")
     return shift_by_country(plays) if shift_clock else plays
 
 

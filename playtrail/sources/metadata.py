@@ -36,12 +36,16 @@ def _in_input_order(rows: DataFrame) -> DataFrame:
     return rows.withColumn(LOAD_ORDER, place)
 
 
-def read_metadata_csv(spark: SparkSession, path: str, multi_line=True) -> DataFrame:
+def read_metadata_csv(spark: SparkSession, path: str, multi_line=False) -> DataFrame:
     """CSV with a header in any column order; ``track_uri`` is required, every value is text.
 
-    Quoted values may hold line breaks, which keeps each file in one task. Turn ``multi_line`` off for
-    large files without such breaks, and they are split.
+    Files are split among tasks. Quoted values with line breaks must be declared by ``multi_line``, which keeps each file in
+    one task. Undeclared ones leave lines with an open quote; those are looked for first and refused.
     """
+    if not multi_line:
+        quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+        if not spark.read.text(path).where(quotes % 2 == 1).isEmpty():
+            raise ValueError("a quoted value holds a line break: read with multi_line=True")
     options = {"header": True, "quote": '"', "escape": '"', "multiLine": multi_line,
                "enforceSchema": False, "mode": "FAILFAST"}
     rows = spark.read.options(**options).csv(path)

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from playtrail.functions import calendar
-from playtrail.plans.ordered import number_rows
+from playtrail.plans.ordered import number_by_position
 from playtrail.schemas import PLAYS_STORED, TABLES, require_columns
 
 LOAD_MODES = ("if_empty", "append", "replace_all")
@@ -62,7 +62,8 @@ def load_plays(plays: DataFrame, path: str, load_id: str, mode="if_empty", grain
     """Write ``plays`` as one load; says whether anything was written.
 
     ``if_empty`` writes only into an empty table, ``append`` adds this load or replaces the load of the
-    same id, ``replace_all`` drops all other loads.
+    same id, ``replace_all`` leaves this load alone: it is written first, and then every other load is
+    emptied, so a failed job never leaves the table without plays.
 
     The rebalance before the write gathers each period into few files and, through adaptive execution,
     splits a period that holds much of the data.
@@ -71,27 +72,35 @@ def load_plays(plays: DataFrame, path: str, load_id: str, mode="if_empty", grain
         raise ValueError(f"unknown load mode: {mode}")
     if mode == "if_empty" and not is_empty(plays.sparkSession, path):
         return False
+    spark = plays.sparkSession
     dated = plays.withColumn("play_date", calendar.period_start(grain, "ts").cast("date"))
+    placed = dated.hint("rebalance", "play_date")
+    placed.write.mode("overwrite").partitionBy("play_date").parquet(f"{path}/load_id={load_id}")
     if mode == "replace_all":
-        placed = dated.withColumn("load_id", F.lit(load_id)).hint("rebalance", "play_date")
-        placed.write.mode("overwrite").partitionBy("load_id", "play_date").parquet(path)
-    else:
-        placed = dated.hint("rebalance", "play_date")
-        placed.write.mode("overwrite").partitionBy("play_date").parquet(f"{path}/load_id={load_id}")
+        nothing = spark.createDataFrame([], dated.schema)
+        # One row per load, not per play.
+        for load in read_plays(spark, path).where(F.col("load_id") != load_id).select("load_id").distinct().collect():
+            nothing.write.mode("overwrite").partitionBy("play_date").parquet(f"{path}/load_id={load[0]}")
     return True
 
 
-def number_new_plays(plays: DataFrame, current: DataFrame | None, order=("ts", "track_uri")) -> DataFrame:
-    """``plays`` with ids that continue after the highest id in ``current``."""
+def number_new_plays(plays: DataFrame, current: DataFrame | None) -> DataFrame:
+    """``plays`` of files, in the order of files and positions, with ids that continue after the highest in ``current``."""
     start = 0
     if current is not None:
         start = current.agg(F.coalesce(F.max("id"), F.lit(0))).scalar()
-    return number_rows(plays, order, start=start)
+    return number_by_position(plays, start=start)
+
+
+def other_loads(spark: SparkSession, path: str, load_id: str) -> DataFrame | None:
+    """The plays of all loads but one, or None when nothing has been written."""
+    plays = read_plays(spark, path)
+    return None if plays is None else plays.where(F.col("load_id") != load_id)
 
 
 def write_tracks(tracks: DataFrame, path: str) -> None:
-    """Write a new version of the tracks; an existing folder is never overwritten."""
-    tracks.write.mode("errorifexists").parquet(path)
+    """Write a version of the tracks; repeating a version replaces it."""
+    tracks.write.mode("overwrite").parquet(path)
 
 
 def register_views(spark: SparkSession, tables: dict[str, DataFrame]) -> None:
@@ -100,9 +109,11 @@ def register_views(spark: SparkSession, tables: dict[str, DataFrame]) -> None:
 
 
 def sql(spark: SparkSession, text: str, tables: dict[str, DataFrame] | None = None, args=None) -> DataFrame:
-    """Any SQL over the given tables; ``args`` are bound as named parameters."""
-    register_views(spark, tables or {})
-    return spark.sql(text, args=args)
+    """Any SQL over the given tables, which the text names in braces; ``args`` are bound as named parameters.
+
+    The session's own views stay as they are.
+    """
+    return spark.sql(text, args=args, **(tables or {}))
 
 
 def list_tables(spark: SparkSession) -> list[str]:

@@ -1,8 +1,8 @@
 """Ingest of history files as they are dropped into a folder.
 
 Each file is read once, tracked by the checkpoint, and goes through the same column expressions as the
-batch load, so there is no state and no watermark. Rows land in Parquet without ids; numbering needs the
-whole batch and is done afterwards by ``publish``.
+batch load, so there is no state and no watermark. Rows land in Parquet with their file and position; ``publish`` numbers
+the files that no load holds yet and adds them to the table as one load.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from playtrail.sources.history import bulk_plays, upload_plays
-from playtrail.sources.tables import load_plays, number_new_plays
+from playtrail.sources.tables import load_plays, number_new_plays, other_loads, read_plays, read_table
 
 CLEANERS = {
     "bulk": bulk_plays,
@@ -48,8 +48,36 @@ def ingest(spark, folder, landing, checkpoint, mode="bulk", files_per_batch=1000
     start_ingest(spark, folder, landing, checkpoint, mode, files_per_batch).awaitTermination()
 
 
-def publish(spark, landing, table, load_id, current=None, mode="append") -> bool:
-    """Number the landed plays and write them as one load of the table."""
+_PUBLISHED = "load_id string, source_file string"
+
+
+def publish(spark, landing, table, load_id, grain="day") -> bool:
+    """Number the landed plays that no other load holds and write them as the load ``load_id``; says whether there were any.
+
+    ``<table>_files`` lists the files of each load. The list is written before the plays: should the job fail in
+    between, repeating the same ``load_id`` completes it, and another one is refused until then, so no file is published twice
+    and none is left out. Repeating a finished load gives the same rows and ids.
+    """
     landed = spark.read.parquet(landing)
-    numbered = number_new_plays(landed, current, ("ts", "track_uri", "source_file"))
-    return load_plays(numbered, table, load_id, mode)
+    ledger = f"{table}_files"
+    published, known = read_table(spark, ledger, _PUBLISHED), False
+    if published is not None:
+        others = published.where(F.col("load_id") != load_id)
+        plays = read_plays(spark, table)
+        listed = others.select("load_id").distinct()
+        unfinished = listed if plays is None else listed.join(plays, "load_id", "left_anti")
+        lost = unfinished.first()
+        if lost is not None:
+            raise ValueError(f"load {lost[0]} was not finished; publish it again first")
+        landed = landed.join(others.select("source_file").distinct(), "source_file", "left_anti")
+        own = published.where(F.col("load_id") == load_id).select("source_file")
+        known = not own.isEmpty()
+        if known:  # a repeated load keeps to its files
+            landed = landed.join(own.distinct(), "source_file", "left_semi")
+    if not known:
+        files = landed.select("source_file").distinct()
+        if files.isEmpty():
+            return False
+        files.write.mode("overwrite").parquet(f"{ledger}/load_id={load_id}")
+    numbered = number_new_plays(landed, other_loads(spark, table, load_id))
+    return load_plays(numbered.drop("source_file", "position"), table, load_id, "append", grain)

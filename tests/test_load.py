@@ -22,7 +22,7 @@ def _export(spark, tmp_path):
     (folder / "Streaming_History_Audio_2.json").write_text(whole[:-40])
     metadata = str(tmp_path / "metadata.parquet")
     spark.createDataFrame(
-        [(URI, "Test Track", "Test Artist", "['a', 'b']", 2.0), (None, "x", "y", "", 1.0),
+        [(URI, "Mudflats", "The Herons", "['a', 'b']", 2.0), (None, "x", "y", "", 1.0),
          ("uri:2", None, None, None, None)],
         "track_uri string, track string, artist string, genres string, track_popularity double",
     ).write.parquet(metadata)
@@ -43,7 +43,9 @@ def test_export_load(spark, tmp_path):
     assert not again.plays_written
     load.load_export(spark, folder, metadata, root, "third", mode="append")
     plays = read_plays(spark, f"{root}/plays")
-    assert plays.count() == 6 and plays.where("id IS NOT NULL").isEmpty()
+    assert sorted(r.id for r in plays.collect()) == [1, 2, 3, 4, 5, 6]
+    load.load_export(spark, folder, metadata, root, "third", mode="append")
+    assert sorted(r.id for r in read_plays(spark, f"{root}/plays").collect()) == [1, 2, 3, 4, 5, 6]
     load.load_export(spark, folder, metadata, root, "fourth", mode="replace_all")
     plays = read_plays(spark, f"{root}/plays")
     assert plays.count() == 3
@@ -51,7 +53,7 @@ def test_export_load(spark, tmp_path):
     read = {n: spark.read.schema(s).parquet(f"{root}/{n}/fourth")
             for n, s in (("tracks", TRACKS), ("genres", GENRES), ("track_genres", TRACK_GENRES))}
     top = top_genres(plays, read["genres"], read["track_genres"]).collect()
-    assert [(r.genre, r.total_ms, r.play_count) for r in top] == [("a", 120005, 3), ("b", 120005, 3)]
+    assert [(r.genre, r.total_ms, r.play_count) for r in top] == [("a", 429011, 3), ("b", 429011, 3)]
     assert overview_full(plays, **read).first().unique_genres == 2
     assert preview(plays, 2).count() == 2
 
@@ -66,10 +68,14 @@ def test_uploads(spark, tmp_path):
     assert sorted(r.id for r in plays.collect()) == list(range(1, 8))
 
     (tmp_path / "one.csv").write_text(HEADER + ROW)
-    (tmp_path / "two.csv").write_text(HEADER + ROW.replace("test genre", "new genre") + ROW.replace(URI, "uri:2"))
+    (tmp_path / "two.csv").write_text(HEADER + ROW.replace("marsh rock", "new genre") + ROW.replace(URI, "uri:2"))
     load.upload_metadata(spark, str(tmp_path / "one.csv"), root, "v1")
-    tables = load.upload_metadata(spark, str(tmp_path / "two.csv"), root, "v2", previous="v1")
+    tables = load.upload_metadata(spark, str(tmp_path / "two.csv"), root, "v2")
     assert {r.track_uri: r.genres for r in tables["tracks"].collect()} == {
-        URI: "['new genre']", "uri:2": "['test genre']"}
-    assert {r.name for r in tables["genres"].collect()} == {"new genre", "test genre"}
+        URI: "['new genre']", "uri:2": "['marsh rock']"}
+    assert {r.name for r in tables["genres"].collect()} == {"new genre", "marsh rock"}
     assert spark.read.parquet(f"{root}/tracks/v1").count() == 1
+    again = load.upload_metadata(spark, str(tmp_path / "one.csv"), root, "v1")  # repeating a version changes no later one
+    assert again["tracks"].count() == 1 and load.current_version(spark, root) == "v2"
+    third = load.upload_metadata(spark, str(tmp_path / "one.csv"), root, "v3")
+    assert {r.track_uri: r.genres for r in third["tracks"].collect()} == {URI: "['marsh rock']", "uri:2": "['marsh rock']"}

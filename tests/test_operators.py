@@ -11,7 +11,7 @@ from playtrail.functions import calendar, text
 from playtrail.operators import genres, rankings, releases, repetition, shares, timeline
 from playtrail.operators.overview import auto_granularity
 from playtrail.plans import filters as f
-from playtrail.plans.ordered import number_rows
+from playtrail.plans.ordered import number_by_position
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -195,8 +195,19 @@ def test_consecutive_repeats_with_ties_gaps_and_a_hot_day(spark, batch):
         assert got[day] == (None if value is None else pytest.approx(value))
 
 
-def test_numbers_are_gapless_in_order(spark):
-    rows = [(dt.datetime(2024, 1, 1), n * 7 % 500) for n in range(500)]
-    df = spark.createDataFrame(rows, "ts timestamp_ntz, n bigint").repartition(5)
-    got = number_rows(df, ("ts", "n"), start=10).orderBy("id").collect()
-    assert [(r.id, r.n) for r in got] == [(11 + n, n) for n in range(500)]
+def test_numbers_follow_files_and_positions(spark):
+    rows = [(f"f{n % 7}", n // 7, n) for n in range(500)] + [("hot", n, 1000 + n) for n in range(400)]
+    want = {n: i for i, (_, _, n) in enumerate(sorted(rows), 11)}
+    for parts in (1, 6):
+        df = spark.createDataFrame(rows, "source_file string, position int, n bigint").repartition(parts)
+        assert {r.n: r.id for r in number_by_position(df, start=10).collect()} == want
+
+
+def test_repeats_do_not_depend_on_the_partitioning(spark):
+    draw = random.Random(9)
+    rows = [(f"f{n % 3}", n // 3, dt.datetime(2024, 1, 1 + draw.randrange(3)), draw.choice("ab")) for n in range(300)]
+    got = []
+    for parts in (1, 5, 9):
+        plays = number_by_position(spark.createDataFrame(rows, "source_file string, position int, ts timestamp_ntz, artist string").repartition(parts))
+        got.append(sorted(map(tuple, repetition.consecutive_repeats(plays).collect())))
+    assert got[0] == got[1] == got[2]

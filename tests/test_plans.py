@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from checks.tables import Tables
-from playtrail.operators import enrich, rankings, releases
+from playtrail.operators import enrich, genres, rankings
 from playtrail.plans import filters as f
 from playtrail.sources import tables
+from playtrail.sources.genres import genre_dimension, track_genre_bridge
 
 FOLDER = "/root/testdata/sf0.001"
 FACT_FILES = ("events.parquet", "lineitem.parquet")
@@ -46,34 +47,37 @@ def whole_text(spark):
 @pytest.mark.parametrize("name", ONE_SCAN)
 def test_plays_are_scanned_once_and_never_crossed(spark, name, broadcasts):
     if not broadcasts:
-        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+        spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", -1)
     try:
         final = _executed(entry.queries()[name](spark, FOLDER))
     finally:
-        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.adaptive.autoBroadcastJoinThreshold")
     scans = [p for p in re.findall(r"FileScan parquet [^\n]*", final) if any(x in p for x in FACT_FILES)]
     assert len(scans) == 1, scans
     assert "CartesianProduct" not in final and "BroadcastNestedLoopJoin" not in final
     assert broadcasts or "BroadcastHashJoin" not in final
 
 
-def test_size_of_the_dimension_decides_where_plays_are_collapsed(spark):
-    """Small tracks are joined in the scan stage; large ones meet plays summed up by track."""
+@pytest.mark.parametrize("broadcasts", [True, False])
+def test_plays_are_collapsed_before_they_meet_tracks(spark, broadcasts):
+    """Fifty genres a track: plays are summed up by track in the scan stage, and no estimate broadcasts the bridge."""
     t = Tables(spark, FOLDER)
     plays = t.raw("lineitem").select(
         F.col("l_shipdate").alias("ts"), F.col("l_partkey").cast("string").alias("track_uri"),
-        F.lit(1).cast("bigint").alias("ms_played"))
-
-    def aggregates_below_join():
-        plan = _executed(releases.release_by_month(plays, t.tracks, as_of="1999-06-15"))
-        return plan[re.search("(Hash|Merge)Join", plan).end():].count("partial_count(1)")
-
-    assert aggregates_below_join() == 0
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+        F.lit(1).cast("bigint").alias("ms_played"), F.lit(False).alias("skipped"))
+    tracks = t.tracks.withColumn("genres", F.to_json(F.transform(F.sequence(F.lit(1), F.lit(50)), lambda n: F.concat(F.lit("g"), n.cast("string")))))
+    bridge, names = track_genre_bridge(tracks), genre_dimension(tracks)
+    if not broadcasts:
+        spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", -1)
     try:
-        assert aggregates_below_join() == 1
+        df = genres.genre_evolution(plays, names, bridge, unit="year")
+        initial = df._jdf.queryExecution().sparkPlan().toString()
+        assert "BroadcastExchange" not in initial and "BroadcastHashJoin" not in initial
+        plan = _executed(df)
     finally:
-        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.adaptive.autoBroadcastJoinThreshold")
+    above = plan[:plan.index("lineitem.parquet")]
+    assert "partial_count(1)" in above[list(re.finditer("(Hash|Merge)Join", above))[-1].end():]
 
 
 def test_filters_reach_the_scan(spark, tmp_path):

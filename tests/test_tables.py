@@ -15,7 +15,7 @@ from tests.test_history import PLAY
 def _plays(spark, count, day="2024-05-28"):
     items = [{**PLAY, "ts": f"{day}T10:00:{n:02}Z", "ms_played": n} for n in range(count)]
     docs = spark.createDataFrame([("a", json.dumps(items))], "source_file string, body string")
-    return history.bulk_plays(docs).drop("source_file")
+    return history.bulk_plays(docs).drop("source_file", "position")
 
 
 def test_tables_are_created_once_and_checked(spark, tmp_path):
@@ -61,18 +61,24 @@ def test_listing_and_sql(spark):
     assert "plays_listed" in tables.list_tables(spark)
     assert tables.table_exists(spark, "plays_listed") and not tables.table_exists(spark, "no_such_table")
     assert tables.table_schema(spark, "plays_listed")["ms_played"] == "bigint"
-    rows = tables.sql(spark, "SELECT COUNT(*) AS n FROM p WHERE ms_played >= :least",
+    rows = tables.sql(spark, "SELECT COUNT(*) AS n FROM {p} WHERE ms_played >= :least",
                       {"p": _plays(spark, 5)}, {"least": 3}).collect()
     assert rows[0].n == 2
     assert ("p", "ts", "timestamp_ntz") in tables.column_listing({"p": _plays(spark, 1)})
     spark.catalog.dropTempView("plays_listed")
 
 
-def test_tracks_are_never_written_over(spark, tmp_path):
-    df = spark.range(3)
-    tables.write_tracks(df, str(tmp_path / "v1"))
-    with pytest.raises(Exception, match="PATH_ALREADY_EXISTS"):
-        tables.write_tracks(df, str(tmp_path / "v1"))
+def test_repeating_a_version_of_tracks_replaces_it(spark, tmp_path):
+    for rows in (5, 3):
+        tables.write_tracks(spark.range(rows), str(tmp_path / "v1"))
+    assert spark.read.parquet(str(tmp_path / "v1")).count() == 3
+
+
+def test_sql_leaves_the_views_of_the_session(spark):
+    spark.range(7).createOrReplaceTempView("mine")
+    assert tables.sql(spark, "SELECT COUNT(*) AS n FROM {mine}", {"mine": spark.range(2)}).first().n == 2
+    assert spark.table("mine").count() == 7
+    spark.catalog.dropTempView("mine")
 
 
 def test_export_keeps_values(spark, tmp_path):
@@ -103,12 +109,19 @@ def test_dropped_files_are_ingested_once_and_published(spark, tmp_path):
     assert sorted(map(str, batch.collect())) == sorted(map(str, spark.read.parquet(landing).collect()))
 
     table = str(tmp_path / "plays")
-    filedrop.publish(spark, landing, table, "first")
-    first = tables.read_table(spark, table)
+    assert filedrop.publish(spark, landing, table, "first")
+    first = tables.read_plays(spark, table)
     assert sorted(r.id for r in first.select("id").collect()) == list(range(1, 9))
     require_columns(first, PLAYS_WITH_ID)
-    more = tables.number_new_plays(_plays(spark, 3), first, ("ts", "ms_played"))
-    assert sorted(r.id for r in more.collect()) == [9, 10, 11]
+    assert "source_file" not in spark.read.parquet(table).columns
+    (folder / "d.json").write_text(json.dumps([PLAY] * 3))
+    assert landed() == 11
+    for load in ("first", "second", "second"):
+        assert filedrop.publish(spark, landing, table, load)
+    assert not filedrop.publish(spark, landing, table, "third")
+    plays = tables.read_plays(spark, table)
+    assert sorted(r.id for r in plays.collect()) == list(range(1, 12))
+    assert {r.load_id: r["count"] for r in plays.groupBy("load_id").count().collect()} == {"first": 8, "second": 3}
 
 
 def test_unreadable_dropped_file_fails_the_upload_stream(spark, tmp_path):
