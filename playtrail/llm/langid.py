@@ -4,8 +4,8 @@ A text is the mean of the embeddings of its subwords: the 2- to 4-letter pieces
 borders, hashed to a fixed number of buckets. As the classifier is linear, embeddings and weights multiply into
 one score per bucket and language before prediction, so a text costs one lookup per subword.
 
-Only text and language of sampled labelled documents are learned. ``SAMPLE_PER_LANGUAGE`` bounds the sample,
-``MAX_LANGUAGES`` the languages (the most frequent ones). Part of the sample is kept from the training and
+Only text and language of sampled labelled documents are learned. ``SAMPLE_DOCS`` bounds the sample, shared evenly by the
+languages, and ``MAX_LANGUAGES`` those (the most frequent ones). Part of the sample is kept from the training and
 sets the temperature of the scores and the score below which a document is rejected.
 """
 
@@ -22,7 +22,7 @@ BUCKET_BITS = 16
 DIMENSIONS = 16
 SIZES = (2, 3, 4)
 BLOCK = 1 << 16
-SAMPLE_PER_LANGUAGE = 600
+SAMPLE_DOCS = 2400
 MAX_LANGUAGES = 200
 EPOCHS = 12
 # Share of rightly recognised calibration documents that the rejection may cost at most.
@@ -149,18 +149,18 @@ def held_out(doc_id: Column) -> Column:
 
 
 def fit(docs: DataFrame, id_col="doc_id", text_col="text", lang_col="lang",
-        per_language: int = SAMPLE_PER_LANGUAGE, max_languages: int = MAX_LANGUAGES) -> dict | None:
+        sample: int = SAMPLE_DOCS, max_languages: int = MAX_LANGUAGES) -> dict | None:
     """The model of the labelled documents outside the held-out fold.
 
-    Each language gives about ``per_language`` documents, chosen by the hash of their id, and never more than
-    twice that in sum. Whole sampled texts are counted on the executors; the driver gets bucket shares.
+    The languages give about equally many documents, ``sample`` in sum, chosen by the hash of their id, and never more than
+    twice that. Whole sampled texts are counted on the executors; the driver gets bucket shares.
     """
     known = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"), F.col(lang_col).alias("l")).where(
         F.col("i").isNotNull() & F.col("t").isNotNull() & F.col("l").isNotNull() & ~held_out(F.col("i")))
     sizes = (known.groupBy("l").count().orderBy(F.desc("count"), "l").limit(max_languages).collect())
     if not sizes:
         return None
-    share = F.create_map(*[x for r in sizes for x in (F.lit(r["l"]), F.lit(min(1.0, per_language / r["count"])))])
+    share = F.create_map(*[x for r in sizes for x in (F.lit(r["l"]), F.lit(min(1.0, sample / len(sizes) / r["count"])))])
     place = F.pmod(F.xxhash64(F.col("i"), F.lit(5)), F.lit(1_000_003)) / F.lit(1_000_003.0)
     chosen = known.where(place < F.coalesce(F.try_element_at(share, F.col("l")), F.lit(0.0)))
 
@@ -170,13 +170,12 @@ def fit(docs: DataFrame, id_col="doc_id", text_col="text", lang_col="lang",
         for batch in batches:
             pairs = [counted(t) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(2), pa.array([b for b, _ in pairs], pa.list_(pa.int32())),
-                 pa.array([s for _, s in pairs], pa.list_(pa.float32()))], ["i", "l", "b", "s"])
+                [batch.column(0), batch.column(2), pa.array([b.tobytes() for b, _ in pairs], pa.binary()),
+                 pa.array([s.tobytes() for _, s in pairs], pa.binary())], ["i", "l", "b", "s"])
 
-    rows = chosen.mapInArrow(count_batches, f"i {dict(known.dtypes)['i']}, l string, b array<int>, s array<float>")
-    rows = rows.limit(2 * per_language * len(sizes)).collect()
-    rows = sorted(rows, key=lambda r: (str(r["i"]), r["l"], len(r["b"])))
-    return train([(r["l"], np.array(r["b"], np.int64), np.array(r["s"], np.float32)) for r in rows])
+    rows = chosen.mapInArrow(count_batches, f"i {dict(known.dtypes)['i']}, l string, b binary, s binary")
+    rows = sorted(rows.limit(2 * sample).collect(), key=lambda r: (str(r["i"]), r["l"], bytes(r["b"])))
+    return train([(r["l"], np.frombuffer(r["b"], np.int32), np.frombuffer(r["s"], np.float32)) for r in rows])
 
 
 def identify(docs: DataFrame, model: dict | None, text_col="text") -> DataFrame:
