@@ -1,5 +1,6 @@
 """Rows of a Spark query and of its SQL in one comparable form."""
 
+import contextlib
 import math
 
 import duckdb
@@ -41,3 +42,19 @@ def assert_same(spark, con, folder, build, oracle):
     assert len(got) == len(want)
     assert got == want
     return len(got)
+
+
+NO_BROADCASTS = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1"}
+
+
+@contextlib.contextmanager
+def settings(spark, changed):
+    """Settings of the session for a while; afterwards they are what they were, which ``unset`` would not bring back."""
+    before = {key: spark.conf.get(key, None) for key in changed}
+    for key, value in changed.items():
+        spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)

@@ -5,7 +5,7 @@ import pytest
 import __spark_entry__ as entry
 from checks import with_tracks  # noqa: F401
 from checks.registry import ORACLES
-from tests.compare import assert_same, connect
+from tests.compare import NO_BROADCASTS, assert_same, connect, settings
 from tests.test_oracle import FOLDER
 
 NAMES = sorted(
@@ -21,8 +21,5 @@ def con():
 
 @pytest.mark.parametrize("name", NAMES)
 def test_query_equals_sql_without_broadcasts(spark, con, name):
-    spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", -1)
-    try:
+    with settings(spark, NO_BROADCASTS):
         assert_same(spark, con, FOLDER, entry.queries()[name], entry.oracle_sql()[name])
-    finally:
-        spark.conf.unset("spark.sql.adaptive.autoBroadcastJoinThreshold")

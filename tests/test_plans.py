@@ -12,6 +12,7 @@ from playtrail.operators import enrich, genres, rankings
 from playtrail.plans import filters as f
 from playtrail.sources import tables
 from playtrail.sources.genres import genre_dimension, track_genre_bridge
+from tests.compare import NO_BROADCASTS, settings
 
 FOLDER = "/root/testdata/sf0.001"
 FACT_FILES = ("events.parquet", "lineitem.parquet")
@@ -46,12 +47,8 @@ def whole_text(spark):
 @pytest.mark.parametrize("broadcasts", [True, False])
 @pytest.mark.parametrize("name", ONE_SCAN)
 def test_plays_are_scanned_once_and_never_crossed(spark, name, broadcasts):
-    if not broadcasts:
-        spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", -1)
-    try:
+    with settings(spark, {} if broadcasts else NO_BROADCASTS):
         final = _executed(entry.queries()[name](spark, FOLDER))
-    finally:
-        spark.conf.unset("spark.sql.adaptive.autoBroadcastJoinThreshold")
     scans = [p for p in re.findall(r"FileScan parquet [^\n]*", final) if any(x in p for x in FACT_FILES)]
     assert len(scans) == 1, scans
     assert "CartesianProduct" not in final and "BroadcastNestedLoopJoin" not in final
@@ -67,15 +64,11 @@ def test_plays_are_collapsed_before_they_meet_tracks(spark, broadcasts):
         F.lit(1).cast("bigint").alias("ms_played"), F.lit(False).alias("skipped"))
     tracks = t.tracks.withColumn("genres", F.to_json(F.transform(F.sequence(F.lit(1), F.lit(50)), lambda n: F.concat(F.lit("g"), n.cast("string")))))
     bridge, names = track_genre_bridge(tracks), genre_dimension(tracks)
-    if not broadcasts:
-        spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", -1)
-    try:
+    with settings(spark, {"spark.sql.autoBroadcastJoinThreshold": "-1"} if broadcasts else NO_BROADCASTS):
         df = genres.genre_evolution(plays, names, bridge, unit="year")
         initial = df._jdf.queryExecution().sparkPlan().toString()
         assert "BroadcastExchange" not in initial and "BroadcastHashJoin" not in initial
         plan = _executed(df)
-    finally:
-        spark.conf.unset("spark.sql.adaptive.autoBroadcastJoinThreshold")
     above = plan[:plan.index("lineitem.parquet")]
     assert "partial_count(1)" in above[list(re.finditer("(Hash|Merge)Join", above))[-1].end():]
 
@@ -105,16 +98,11 @@ def test_hot_track_in_a_row_level_join_is_split(spark):
     tracks = spark.range(n).select(
         F.when(F.col("id") == 0, F.lit("hot")).otherwise(F.col("id").cast("string")).alias("track_uri"),
         F.lit("g").alias("genres"))
-    settings = {"spark.sql.autoBroadcastJoinThreshold": "-1",
+    changed = {**NO_BROADCASTS,
                 "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "100k",
                 "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
                 "spark.sql.adaptive.advisoryPartitionSizeInBytes": "100k"}
-    for key, value in settings.items():
-        spark.conf.set(key, value)
-    try:
+    with settings(spark, changed):
         joined = enrich.enriched_plays(plays.repartition(16), tracks)
         assert "skew=true" in _executed(joined.select("id", "pad", "genres"))
         assert joined.where("genres = 'g'").count() == n
-    finally:
-        for key in settings:
-            spark.conf.unset(key)
