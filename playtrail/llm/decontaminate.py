@@ -23,7 +23,7 @@ MIN_MATCH = 5
 THRESHOLD = 0.5
 # The seeds of all items fold into a bitmap of fixed size, which is what documents are first held against.
 BITMAP_BITS = 24
-WORDS_KEPT = 1_000_000
+WORDS_KEPT = 300_000
 _BASE = 0x9E3779B97F4A7C15
 _WORD = re.compile(r"[^\W_]+")
 
@@ -223,10 +223,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, size: int = MIN_MATCH, t
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col="doc_id", text_col="text", **options) -> DataFrame:
-    """The documents that no item contaminates, with all their columns."""
+    """The documents that no item contaminates, with all their columns; a sort-merge join by id and text, whatever the sizes."""
     hits = contaminated(docs, benchmark, id_col=id_col, text_col=text_col, **options)
     hits = hits.select(F.col("doc_id").alias("hit_id"), "text_key").distinct()
     key = free_name(docs, "key")
     keyed = docs.withColumn(key, F.xxhash64(text_col))
     same = keyed[id_col].eqNullSafe(hits["hit_id"]) & (keyed[key] == hits["text_key"])
-    return keyed.join(hits, same, "left_anti").drop(key)
+    return keyed.join(hits.hint("merge"), same, "left_anti").drop(key)

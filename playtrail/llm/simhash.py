@@ -149,19 +149,21 @@ def hex_of(fp: Column) -> Column:
 def keep_one_per_group(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFrame:
     """One document of each group, with all its columns: the one with the smallest id.
 
-    Groups are sought on ids and fingerprints alone; texts move once, in the semi join by id. Where several
-    rows carry a kept id, those rows are hashed again to tell which belong to the group, and one of them stays.
-    A group without any id keeps one of its rows.
+    Groups are sought on ids and fingerprints alone; texts move once, in a sort-merge join by id whatever the sizes. Where
+    several rows carry a kept id, those rows are written and hashed again to tell which belong to the group, and one of them
+    stays. A group without any id keeps one of its rows.
     """
     fps = written(fingerprints(docs, id_col, text_col), "simhash-fps")
     names = group_names(fps)
-    first = fps.join(names, "fp").where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    rows = fps.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).withColumnRenamed("doc_id", "id")
-    kept = first.select("doc_id").distinct()
-    kept = written(kept.join(rows, kept["doc_id"].eqNullSafe(rows["id"])).select("doc_id", "n"), "simhash-kept")
-    once = docs.join(kept.where("n = 1"), docs[id_col].cast("bigint") == kept["doc_id"], "left_semi")
-    many = kept.where("n > 1 OR doc_id IS NULL")
-    again = docs.join(many, docs[id_col].cast("bigint").eqNullSafe(many["doc_id"]), "left_semi")
+    first = fps.join(names, "fp").where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
+    rows = fps.groupBy(F.col("doc_id").alias("id")).agg(F.count(F.lit(1)).alias("n"))
+    kept = written(first.join(rows, first["doc_id"].eqNullSafe(rows["id"])).select("doc_id", "n"), "simhash-kept")
+    single, many = kept.where("n = 1 AND doc_id IS NOT NULL"), kept.where("n > 1 OR doc_id IS NULL")
+    once = docs.join(single.hint("merge"), docs[id_col].cast("bigint") == single["doc_id"], "left_semi")
+    if many.isEmpty():
+        return once
+    again = docs.join(many.hint("merge"), docs[id_col].cast("bigint").eqNullSafe(many["doc_id"]), "left_semi")
+    again = written(again, "simhash-repeated")
     fp, component, least = (free_name(docs, n) for n in ("fp", "component", "least"))
     renamed = names.select(F.col("fp").alias(fp), F.col("component").alias(component),
                            F.col("component_id").alias(least))
