@@ -30,8 +30,8 @@ from playtrail.llm.shared import process_cache
 # Texts are worked on in groups of about so many characters, words and pieces in blocks of so many bytes or tokens.
 GROUP_CHARS = 2_000_000
 BLOCK_ROWS = 400_000
-KEPT_WORDS = 600_000
-KEPT_DECODED = 400_000
+KEPT_WORDS = 450_000
+KEPT_DECODED = 300_000
 LONG = 64
 
 # One contraction per word and round.

@@ -23,14 +23,18 @@ def written(df: DataFrame, label: str) -> DataFrame:
 
 
 def process_cache(name: str, make):
-    """``make()``, kept for as long as the Python worker lives, since tasks unpickle functions anew."""
+    """``make()``, kept while the Python worker lives and asks for it, since tasks unpickle functions anew.
+
+    A worker serves one stage after another; what an earlier stage kept goes when a later one asks for something else.
+    """
     import sys
     import types
 
     kept = sys.modules.setdefault("playtrail_process_cache", types.ModuleType("playtrail_process_cache"))
-    if not hasattr(kept, name):
-        setattr(kept, name, make())
-    return getattr(kept, name)
+    if getattr(kept, "held", ("", None))[0] != name:
+        kept.held = ("", None)
+        kept.held = (name, make())
+    return kept.held[1]
 
 
 def free_name(df: DataFrame, base: str) -> str:
