@@ -121,10 +121,10 @@ def near_links(fps: DataFrame, radius: int = RADIUS, pairwise: int = PAIRWISE) -
     return pairs.union(stars).distinct()
 
 
-def group_names(fps: DataFrame) -> DataFrame:
-    """``(fp, component, component_id)`` for every fingerprint of ``fps (doc_id, fp)``."""
+def group_names(fps: DataFrame, links_of=near_links) -> DataFrame:
+    """``(fp, component, component_id)`` for every fingerprint of ``fps (doc_id, fp)``; ``links_of`` its nodes links them."""
     nodes = written(fps.groupBy("fp").agg(F.min("doc_id").alias("least_id")), "simhash-nodes")
-    components = connected_components(near_links(nodes))
+    components = connected_components(links_of(nodes))
     grouped = written(
         nodes.join(components.withColumnRenamed("node", "fp"), "fp", "left")
         .select("fp", "least_id", F.coalesce("component", "fp").alias("component")), "simhash-grouped")
@@ -147,14 +147,18 @@ def hex_of(fp: Column) -> Column:
 
 
 def keep_one_per_group(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFrame:
-    """One document of each group, with all its columns: the one with the smallest id.
+    """One document of each group, with all its columns: the one with the smallest id."""
+    fps = written(fingerprints(docs, id_col, text_col), "simhash-fps")
+    return keep_first(docs, fps, group_names(fps), fingerprint, id_col, text_col)
+
 
-    Groups are sought on ids and fingerprints alone; texts move once, in a sort-merge join by id whatever the sizes. Where
-    several rows carry a kept id, those rows are written and hashed again to tell which belong to the group, and one of them
-    stays. A group without any id keeps one of its rows.
+def keep_first(docs: DataFrame, fps: DataFrame, names: DataFrame, name_of, id_col="doc_id", text_col="text") -> DataFrame:
+    """The document with the smallest id of each group in ``names``, with all its columns.
+
+    ``fps (doc_id, fp)`` holds what ``name_of`` makes of each text. Texts move once, in a sort-merge join by id whatever the
+    sizes. Where several rows carry a kept id, those rows are written and hashed again to tell which belong to the group, and
+    one of them stays. A group without any id keeps one of its rows.
     """
-    fps = written(fingerprints(docs, id_col, text_col), "simhash-fps")
-    names = group_names(fps)
     first = fps.join(names, "fp").where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
     rows = fps.groupBy(F.col("doc_id").alias("id")).agg(F.count(F.lit(1)).alias("n"))
     kept = written(first.join(rows, first["doc_id"].eqNullSafe(rows["id"])).select("doc_id", "n"), "simhash-kept")
@@ -168,7 +172,7 @@ def keep_one_per_group(docs: DataFrame, id_col="doc_id", text_col="text") -> Dat
     renamed = names.select(F.col("fp").alias(fp), F.col("component").alias(component),
                            F.col("component_id").alias(least))
     chosen = (
-        again.withColumn(fp, fingerprint(F.col(text_col))).join(renamed, fp)
+        again.withColumn(fp, name_of(F.col(text_col))).join(renamed, fp)
         .where(F.col(id_col).cast("bigint").eqNullSafe(F.col(least)))
         .dropDuplicates([component]))
     return once.unionByName(chosen.select(*docs.columns))
