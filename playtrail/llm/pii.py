@@ -279,10 +279,9 @@ def windows_of(text: str):
     for m in _TRIGGER.finditer(text):
         at = m.start()
         low = max(0, -(-(at - WINDOW + 1) // STRIDE) * STRIDE)
-        for start in range(max(low, seen + 1), min(at, last) + 1, STRIDE):
-            if start % STRIDE == 0 and start > seen:
-                yield start
-                seen = start
+        for start in range(max(low, seen + STRIDE) if seen >= 0 else low, min(at, last) + 1, STRIDE):
+            yield start
+            seen = start
 
 
 def _decoded(tags: np.ndarray) -> list[tuple[str, int, int]]:

@@ -1,5 +1,6 @@
 """Personal data: patterns against plain regular expressions, gradients against differences, windows, reconciliation."""
 
+import random
 import re
 
 import numpy as np
@@ -133,3 +134,13 @@ def test_trained_on_sampled_labels_it_finds_the_patterns(spark):
     again = pii.added_spans(net, texts, [[] for _ in texts])
     hit = sum(len(set(a) & set(b)) for a, b in zip(again, base))
     assert hit > 0.8 * sum(map(len, base)) and hit > 0.8 * sum(map(len, again))
+
+
+def test_every_window_with_a_trigger_is_decoded():
+    rng = random.Random(9)
+    texts = ["x" * 10 + "1" + "x" * 49 + "@" + "x" * 200]
+    texts += ["".join(rng.choices("x@1", (weight, 1, 1), k=rng.randint(0, 700))) for weight in (5, 50, 200, 1000) for _ in range(60)]
+    for text in texts:
+        last = max([0, *[s + pii.STRIDE for s in range(0, len(text), pii.STRIDE) if s + pii.WINDOW < len(text)]])
+        want = [s for s in range(0, last + 1, pii.STRIDE) if any(c in "@1" for c in text[s:s + pii.WINDOW])]
+        assert list(pii.windows_of(text)) == want
