@@ -49,6 +49,14 @@ def test_weak_candidates_need_a_complementary_part(spark):
         (10, [], [("weak_access", far + 3, far + 17), ("weak_secret", far + 26, far + 44)]), (11, ["access"], [("weak_secret", 0, 18)])]
 
 
+def test_long_secret_beside_an_identifier(spark):
+    for n in (128, 129, 1000):
+        token = (KEY * 60)[:n]
+        assert found(spark, [(1, f"{ID} {token}")]) == [(1, [], [("weak_access", 0, 14), ("weak_secret", 15, 15 + n)])]
+    assert found(spark, [(1, (KEY * 60)[:1000])]) == [(1, [], [])]
+    assert len(credentials.parts_of(KEY * 100_000, [])) == 1
+
+
 def test_links_equal_brute_force(spark):
     import random
 
