@@ -5,7 +5,21 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from playtrail.llm import ann, bpe, credentials, decontaminate, langid, pii, revisits, simhash, tokenfile, urltree
+from playtrail.llm import (
+    alignment,
+    ann,
+    bpe,
+    credentials,
+    decontaminate,
+    hardnegatives,
+    langid,
+    pii,
+    revisits,
+    shards,
+    simhash,
+    tokenfile,
+    urltree,
+)
 from playtrail.llm.shared import table
 from playtrail.session import scratch_path
 
@@ -194,3 +208,47 @@ def op10_byte_level_bpe(spark, sf_dir):
     return found.select(
         "doc_id", (F.length("ids") / 4).cast("bigint").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@query
+def op11_tokenizer_alignment(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = alignment.align(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+    return found.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum",
+                        F.when(F.col("groups") == "", "").otherwise(F.sha2("groups", 256)).alias("groups_sha256"))
+
+
+@query
+def op12_hard_negatives(spark, sf_dir):
+    rows = table(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    values = F.col("embedding").cast("array<double>")
+    finite = F.forall(values, lambda x: ~F.isnan(x) & (F.abs(x) < float("inf")))
+    whole = F.when(finite, F.transform(values, lambda x: F.floor(x * 256)))
+    rows = rows.select("vec_id", label.alias("label"), whole.alias("vec"))
+    return hardnegatives.mine(rows, F.col("vec_id") % 50 == 0)
+
+
+ORACLES["op12_hard_negatives"] = """WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, x -> floor(256 * x::DOUBLE)) AS vec FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT a.vec_id AS anchor_id, r.vec_id AS id, a.label = r.label AS positive, list_inner_product(a.vec, r.vec)::BIGINT AS score
+  FROM v a JOIN v r ON a.vec_id % 50 = 0 AND a.vec_id <> r.vec_id),
+p AS (
+  SELECT * FROM s WHERE positive QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5)
+SELECT p.anchor_id, p.id AS positive_id, (row_number() OVER (PARTITION BY p.anchor_id, p.id ORDER BY n.score DESC, n.id))::INTEGER AS rank,
+  n.id AS negative_id, p.score AS positive_score, n.score AS negative_score
+FROM p JOIN s n ON n.anchor_id = p.anchor_id AND NOT n.positive AND 50 * p.score <= 100 * n.score AND 100 * n.score <= 95 * p.score
+QUALIFY rank <= 3"""
+
+
+@query
+def op13_shuffled_shards(spark, sf_dir):
+    docs, path = table(spark, sf_dir, "documents"), scratch_path(spark, "shards")
+    shards.write_shards(docs, path, 24)
+    text = F.coalesce(F.col("record.text"), F.lit(""))
+    return shards.read_shards(spark, path, docs.schema).select(
+        "record.doc_id", F.col("bytes").alias("size"), F.crc32(text).alias("text_crc32"), F.lit("rows").alias("law"),
+        "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
