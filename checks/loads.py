@@ -21,6 +21,15 @@ _BULK = """SELECT at_second AS ts, ms AS ms_played, 'user ' || CAST(user_id AS V
   FROM items WHERE music"""
 _PLAYED = ("ts", "ms_played", "artist", "track_uri", "reason_end", "skipped", "country")
 
+_REPORT = sql("""counted AS (SELECT no, COUNT(*) FILTER (music) AS inserted,
+          COUNT(*) FILTER (NOT music) AS skipped_content FROM items GROUP BY 1),
+        docs AS (SELECT DISTINCT CAST(event_id // 250 AS BIGINT) AS no FROM events)
+      SELECT CAST(no AS VARCHAR) AS source_file, COALESCE(inserted, 0) AS inserted, CAST(0 AS BIGINT) AS failed,
+        COALESCE(skipped_content, 0) AS skipped_content,
+        CASE WHEN no % 5 = 4 OR inserted IS NULL THEN 'failed' WHEN inserted > 0 THEN 'loaded'
+          ELSE 'skipped' END AS status
+      FROM docs LEFT JOIN counted USING (no)""")
+
 
 def _as_files(t) -> str:
     """The documents as one file each, in a new shared folder."""
@@ -33,6 +42,28 @@ def _from_files(t):
     return history.bulk_plays(history.read_documents(t.spark, _as_files(t))).select(*_PLAYED)
 
 
+def _from_split_files(t):
+    """Every file read by many tasks, in ranges of some objects."""
+    folder, key = _as_files(t), "spark.sql.files.maxPartitionBytes"
+    before = t.spark.conf.get(key)
+    t.spark.conf.set(key, "20000")
+    try:
+        staged = history.staged_history(t.spark, folder, whole_bytes=0)
+    finally:
+        t.spark.conf.set(key, before)
+    return history.plays_of(staged).select(*_PLAYED)
+
+
+def _from_quarantined_stream(t):
+    """The same files by the stream that sets unreadable ones aside."""
+    landing, checkpoint = scratch_path(t.spark, "landing"), scratch_path(t.spark, "progress")
+    folder = _as_files(t)
+    for _ in range(2):
+        filedrop.ingest(t.spark, folder, landing, checkpoint, quarantine=True)
+    refused = filedrop.refused_files(t.spark, landing).count()
+    return filedrop.landed_plays(t.spark, landing).select(*_PLAYED, F.lit(refused).cast("bigint").alias("refused"))
+
+
 def _from_stream(t):
     landing, checkpoint = scratch_path(t.spark, "landing"), scratch_path(t.spark, "progress")
     folder = _as_files(t)
@@ -45,15 +76,13 @@ check("history_parsed", lambda t: history.bulk_plays(t.documents).select(*_PLAYE
       sql(_BULK))
 check("history_files", _from_files, sql(_BULK))
 check("history_stream", _from_stream, sql(_BULK))
+check("history_split", _from_split_files, sql(_BULK))
+check("history_quarantine", _from_quarantined_stream,
+      sql(_BULK.replace("AS ts,", """AS ts, (SELECT COUNT(DISTINCT CASE WHEN (event_id // 250) % 5 = 4 THEN event_id // 250 END) FROM events) AS refused,""", 1)))
+check("history_staged_report", lambda t: history.report_of(history.staged_plays(t.documents)),
+      _REPORT)
 check("history_load_report", lambda t: history.load_report(t.documents),
-      sql("""counted AS (SELECT no, COUNT(*) FILTER (music) AS inserted,
-          COUNT(*) FILTER (NOT music) AS skipped_content FROM items GROUP BY 1),
-        docs AS (SELECT DISTINCT CAST(event_id // 250 AS BIGINT) AS no FROM events)
-      SELECT CAST(no AS VARCHAR) AS source_file, COALESCE(inserted, 0) AS inserted, CAST(0 AS BIGINT) AS failed,
-        COALESCE(skipped_content, 0) AS skipped_content,
-        CASE WHEN no % 5 = 4 OR inserted IS NULL THEN 'failed' WHEN inserted > 0 THEN 'loaded'
-          ELSE 'skipped' END AS status
-      FROM docs LEFT JOIN counted USING (no)"""))
+      _REPORT)
 check("upload_cleaned",
       lambda t: history.upload_plays(t.readable_documents, recover=True),
       sql("""SELECT CAST(no AS VARCHAR) AS source_file, ROW_NUMBER() OVER (PARTITION BY no ORDER BY event_id) - 1 AS position, at_second - CASE country WHEN 'US' THEN INTERVAL 7 HOUR

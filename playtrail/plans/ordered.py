@@ -2,7 +2,7 @@
 
 A window over the whole history has no partition key, and a window per day puts a busy day in one task.
 Numbers follow from the input instead: file and position. The pass over neighbours range-partitions on a unique order,
-(ts, id), so no task can be hot whatever the data.
+(ts, id), so no task can be hot whatever the data, and goes over each range by itself.
 """
 
 from __future__ import annotations
@@ -10,16 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-_SEGMENTS = (
-    "day timestamp_ntz, first_ts timestamp_ntz, first_tie bigint, "
-    "first_value string, last_value string, pairs bigint, repeats bigint"
-)
-
-
-def _in_order(df: DataFrame, order) -> DataFrame:
-    keys = [F.col(c).asc_nulls_last() for c in order]
-    return df.repartitionByRange(*keys).sortWithinPartitions(*keys)
-
+from playtrail.session import scratch_path
 
 def number_by_position(df: DataFrame, start=0, file="source_file", position="position", name="id") -> DataFrame:
     """Consecutive numbers ``start + 1, start + 2, ...`` in the order of files and of positions within a file.
@@ -36,75 +27,36 @@ def number_by_position(df: DataFrame, start=0, file="source_file", position="pos
     return df.join(offsets, df[file].eqNullSafe(offsets["_file"])).select(number, *kept)
 
 
-def day_segments(df: DataFrame, value: str, ts="ts", tie="id") -> DataFrame:
-    """Runs of one day inside one range partition, in (ts, tie) order.
+def in_range_parts(df: DataFrame, order, name="_part") -> DataFrame:
+    """``df`` dealt out by ranges of ``order``, and written with the number of each row's range, which rises with the order.
 
-    Each run holds its first and last value, the number of neighbouring pairs with both values known,
-    and how many of those are equal. There are at most as many runs as partitions plus days. Each task
-    reads its Arrow batches in order and keeps one open run.
+    What is written stays as it is, whatever is computed from it and however often; the rows of a part are in no order.
     """
+    keys = [F.col(c).asc_nulls_last() for c in order]
+    ranged = df.repartitionByRange(*keys).withColumn(name, F.spark_partition_id())
+    path = scratch_path(df.sparkSession, "range-parts")
+    ranged.write.parquet(path)
+    return df.sparkSession.read.schema(ranged.schema).parquet(path)
 
-    def fold(batches):
-        import numpy as np
-        import pyarrow as pa
-        import pyarrow.compute as pc
-
-        def record(run):
-            columns = list(zip(run))
-            types = [pa.timestamp("us")] * 2 + [pa.int64()] + [pa.string()] * 2 + [pa.int64()] * 2
-            names = ["day", "first_ts", "first_tie", "first_value", "last_value", "pairs", "repeats"]
-            arrays = [pa.array(c, type=t) for c, t in zip(columns, types)]
-            return pa.RecordBatch.from_arrays(arrays, names=names)
-
-        def equal_pairs(left, right):
-            same = pc.equal(left, right)
-            known = len(same) - same.null_count
-            return known, (pc.sum(same.cast(pa.int64())).as_py() or 0)
 
-        run = None
-        for batch in batches:
-            if batch.num_rows == 0:
-                continue
-            times = batch.column(0).cast(pa.timestamp("us"))
-            ties, values = batch.column(1), batch.column(2).cast(pa.string())
-            days = pc.floor_temporal(times, unit="day")
-            number = pc.fill_null(days.cast(pa.int64()), np.iinfo(np.int64).max)
-            number = number.to_numpy(zero_copy_only=False)
-            starts = [0, *(np.flatnonzero(number[1:] != number[:-1]) + 1).tolist()]
-            for start, end in zip(starts, [*starts[1:], len(number)]):
-                piece = values.slice(start, end - start)
-                known, same = equal_pairs(piece.slice(1), piece.slice(0, len(piece) - 1))
-                day, head, last = days[start].as_py(), piece[0].as_py(), piece[-1].as_py()
-                if run is not None and run[0] == day:
-                    if run[4] is not None and head is not None:
-                        known, same = known + 1, same + (run[4] == head)
-                    run = (*run[:4], last, run[5] + known, run[6] + same)
-                    continue
-                if run is not None:
-                    yield record(run)
-                run = (day, times[start].as_py(), ties[start].as_py(), head, last, known, same)
-        if run is not None:
-            yield record(run)
+def with_previous(df: DataFrame, value: str, ts="ts", tie="id", name="_previous") -> DataFrame:
+    """``ts``, ``tie`` and ``value`` of ``df`` with the value of the row before in the whole (ts, tie) order, NULL for the first.
 
-    rows = df.select(F.col(ts), F.col(tie).cast("bigint").alias(tie), F.col(value))
-    return _in_order(rows, (ts, tie)).mapInArrow(fold, _SEGMENTS)
+    The lag goes over each range part; the first row of a part takes the last value of the part before. That second lag has one
+    row per part.
+    """
+    rows = in_range_parts(df.select(F.col(ts), F.col(tie).cast("bigint").alias(tie), F.col(value)), (ts, tie))
+    place = F.struct(F.col(ts).isNull(), F.col(ts), F.col(tie).isNull(), F.col(tie))
+    ends = rows.groupBy("_part").agg(F.max_by(value, place).alias("_end"))
+    ends = ends.select("_part", F.lag("_end").over(Window.orderBy("_part")).alias("_before"))
+    inside = Window.partitionBy("_part").orderBy(F.col(ts).asc_nulls_last(), F.col(tie).asc_nulls_last())
+    lagged = rows.withColumns({name: F.lag(value).over(inside), "_number": F.row_number().over(inside)})
+    previous = F.when(F.col("_number") == 1, F.col("_before")).otherwise(F.col(name))
+    return lagged.join(ends, "_part").select(ts, tie, value, previous.alias(name))
 
 
 def neighbour_repeats_by_day(df: DataFrame, value: str, ts="ts", tie="id") -> DataFrame:
-    """Per day: pairs (row, previous row of the whole history) with both known, and equal ones.
-
-    The first row of a run finds its predecessor as the last value of the run before; that lag goes
-    over the runs only.
-    """
-    before = Window.orderBy(F.col("first_ts").asc_nulls_last(), F.col("first_tie"))
-    previous = F.lag("last_value").over(before)
-    joined = (previous == F.col("first_value"))
-    return (
-        day_segments(df, value, ts, tie)
-        .withColumn("_joined", joined)
-        .groupBy("day")
-        .agg(
-            (F.sum("pairs") + F.count("_joined")).alias("pairs"),
-            (F.sum("repeats") + F.count_if(F.col("_joined"))).alias("repeats"),
-        )
-    )
+    """Per day: pairs (row, previous row of the whole history) with both known, and equal ones."""
+    same = F.col("_previous") == F.col(value)
+    return with_previous(df, value, ts, tie).groupBy(F.date_trunc("day", ts).cast("timestamp_ntz").alias("day")).agg(
+        F.count(same).alias("pairs"), F.count_if(same).alias("repeats"))

@@ -1,8 +1,8 @@
 """Play history from JSON exports: one file holds one array of plays.
 
-A file is read whole as one row, because an array cannot be cut before it is parsed. It must stay below
-Spark's 2 GB cell; exports come in files of some megabytes. All functions below the reader are plain
-column expressions and serve batch and streaming DataFrames alike.
+Exports come in files of some megabytes, which are read whole, a file a row; ``staged_history`` reads larger ones by
+``splithistory``, with the same result. The functions on documents are plain column expressions and serve batch and
+streaming DataFrames alike.
 """
 
 from __future__ import annotations
@@ -40,14 +40,20 @@ UPLOAD_DEFAULTS = {
     "country": "unknown",
 }
 
-_ITEMS = "array<map<string,string>>"
+NO_ARRAY = "no JSON array of plays"
+ITEMS = "array<map<string,string>>"
+# White space that a document may begin and end with.
+TRIMMED = " \t\r\n\f\x0b"
+# Files above this size are read by many tasks.
+WHOLE_BYTES = 64 << 20
 
 
-def read_documents(spark: SparkSession, path: str) -> DataFrame:
-    """Files below ``path`` (folder or glob) as (source_file, body)."""
-    return spark.read.text(path, wholetext=True).select(
-        F.col("_metadata.file_path").alias("source_file"), F.col("value").alias("body")
-    )
+def read_documents(spark: SparkSession, path: str, largest: int | None = None) -> DataFrame:
+    """Files below ``path`` (folder or glob) as (source_file, body); those above ``largest`` bytes are not opened."""
+    files = spark.read.text(path, wholetext=True)
+    if largest is not None:
+        files = files.where(F.col("_metadata.file_size") <= largest)
+    return files.select(F.col("_metadata.file_path").alias("source_file"), F.col("value").alias("body"))
 
 
 def read_history(spark: SparkSession, folder: str) -> DataFrame:
@@ -62,15 +68,15 @@ def _cut_after(body: Column, mark: str, keep: int) -> Column:
     return F.when(F.contains(body, F.lit(mark)), F.left(body, size))
 
 
-def _whole_array(text: Column) -> Column:
+def whole_array(text: Column) -> Column:
     """The items of a text that is one JSON array and nothing else, NULL otherwise.
 
     The JSON parser stops after the first value and would not notice what follows. So the text is also parsed inside an
     array and inside an object with a field behind it. Whatever follows the value would have to continue both, and nothing
     but white space does.
     """
-    inside = F.from_json(F.concat(F.lit("["), text, F.lit("]")), f"array<{_ITEMS}>")
-    before = F.from_json(F.concat(F.lit('{"value":'), text, F.lit(',"end":1}')), f"value {_ITEMS}, end int")
+    inside = F.from_json(F.concat(F.lit("["), text, F.lit("]")), f"array<{ITEMS}>")
+    before = F.from_json(F.concat(F.lit('{"value":'), text, F.lit(',"end":1}')), f"value {ITEMS}, end int")
     return F.when((F.size(inside) == 1) & (before["end"] == 1), before["value"])
 
 
@@ -82,12 +88,12 @@ def with_items(documents: DataFrame, recover=True) -> DataFrame:
     last ``},`` instead. The steps are separate selects so that each is evaluated once per document.
     """
     trimmed = documents.select(
-        "source_file", "body", F.btrim("body", F.lit(" \t\r\n\f\x0b")).alias("text")
+        "source_file", "body", F.btrim("body", F.lit(TRIMMED)).alias("text")
     )
     text, body = F.col("text"), F.col("body")
-    nothing = F.when(text == "null", F.array().cast(_ITEMS))
+    nothing = F.when(text == "null", F.array().cast(ITEMS))
     if not recover:
-        return trimmed.select("source_file", F.coalesce(nothing, _whole_array(text)).alias("items"))
+        return trimmed.select("source_file", F.coalesce(nothing, whole_array(text)).alias("items"))
     object_last = F.length(F.substring_index(text, "}", -1)) < F.length(
         F.substring_index(text, "]", -1)
     )
@@ -96,7 +102,7 @@ def with_items(documents: DataFrame, recover=True) -> DataFrame:
         F.concat(_cut_after(text, "}", 1), F.lit("]")),
     )
     shorter = F.concat(_cut_after(body, "},", 1), F.lit("]"))
-    items = F.coalesce(nothing, _whole_array(closed), _whole_array(shorter))
+    items = F.coalesce(nothing, whole_array(closed), whole_array(shorter))
     return trimmed.select("source_file", items.alias("items"))
 
 
@@ -142,35 +148,36 @@ def bulk_plays(documents: DataFrame) -> DataFrame:
 
     Items whose time or duration cannot be read are left out; ``load_report`` counts them.
     """
-    item = F.col("item")
     readable = with_items(documents)
+    return _each_item(readable, _loadable).select(*_bulk_fields(F.col("item")), "source_file", "position")
+
+
+def _loadable(item: Column) -> Column:
+    return is_music(item) & ~_unreadable(item)
+
+
+def _bulk_fields(item: Column) -> list[Column]:
     typed = {
         "ts": _field(item, "ts").try_cast("timestamp_ntz"),
         "ms_played": _whole_number(_field(item, "ms_played")),
         "skipped": _skipped_by_reason(item),
     }
-    return _each_item(readable, lambda i: is_music(i) & ~_unreadable(i)).select(
-        *[typed.get(n, _field(item, n)).alias(n) for n in PLAYS.fieldNames()], "source_file", "position"
-    )
+    return [typed.get(n, _field(item, n)).alias(n) for n in PLAYS.fieldNames()]
 
 
-def load_report(documents: DataFrame) -> DataFrame:
-    """Per file: plays loaded, plays that cannot be read, other content skipped, and a status.
-
-    Counted inside each document, so nothing is exploded or shuffled.
-    """
+def _counted(parsed: DataFrame, *kept) -> DataFrame:
+    """For each row of ``parsed`` the numbers of its items: plays, plays that cannot be read, other content."""
     items = F.col("items")
 
     def number(condition):
         return F.coalesce(F.size(F.filter(items, condition)), F.lit(0)).cast("bigint")
 
-    counts = with_items(documents).select(
-        "source_file",
-        items.isNull().alias("broken"),
-        number(lambda i: is_music(i) & ~_unreadable(i)).alias("inserted"),
-        number(lambda i: is_music(i) & _unreadable(i)).alias("failed"),
-        number(lambda i: (F.size(i) > 0) & ~is_music(i)).alias("skipped_content"),
-    )
+    return parsed.select(
+        "source_file", *kept, number(_loadable).alias("inserted"), number(lambda i: is_music(i) & _unreadable(i)).alias("failed"),
+        number(lambda i: (F.size(i) > 0) & ~is_music(i)).alias("skipped_content"))
+
+
+def _with_status(counts: DataFrame) -> DataFrame:
     status = (
         F.when(F.col("broken"), "failed")
         .when(F.col("inserted") + F.col("failed") > 0, "loaded")
@@ -180,6 +187,57 @@ def load_report(documents: DataFrame) -> DataFrame:
     return counts.withColumn("status", status).drop("broken")
 
 
+def staged_plays(documents: DataFrame) -> DataFrame:
+    """The rows of ``bulk_plays``, and with each row the counts of its document, whose items are parsed once.
+
+    A document without plays has one row, without position. ``plays_of`` and ``report_of`` take what is staged apart.
+    """
+    counts = _counted(with_items(documents), F.filter("items", _loadable).alias("kept"), F.col("items").isNull().alias("broken"))
+    totals = ["failed", "skipped_content", "broken"]
+    rows = counts.select("source_file", *totals, F.posexplode_outer("kept").alias("position", "item"))
+    return rows.select(*_bulk_fields(F.col("item")), "source_file", F.col("position").cast("bigint").alias("position"), *totals)
+
+
+def plays_of(staged: DataFrame) -> DataFrame:
+    return staged.where(F.col("position").isNotNull()).select(*PLAYS.fieldNames(), "source_file", "position")
+
+
+def report_of(staged: DataFrame) -> DataFrame:
+    """``load_report`` from what is staged."""
+    counts = staged.groupBy("source_file").agg(
+        F.bool_or("broken").alias("broken"), F.count("position").alias("inserted"), F.max("failed").alias("failed"),
+        F.max("skipped_content").alias("skipped_content"))
+    return _with_status(counts)
+
+
+def staged_history(spark: SparkSession, path: str, whole_bytes: int = WHOLE_BYTES) -> DataFrame:
+    """``staged_plays`` of all files below ``path``; those above ``whole_bytes`` are read by many tasks.
+
+    The driver sees the names of the large files only.
+    """
+    from playtrail.sources import splithistory
+
+    large = [r["path"] for r in spark.read.format("binaryFile").load(path).where(F.col("length") > whole_bytes).select("path").collect()]
+    staged = staged_plays(read_documents(spark, path, whole_bytes))
+    if not large:
+        return staged
+    items, files = splithistory.split_items(spark, large)
+    counts = _counted(items).groupBy("source_file").agg(F.sum("failed").alias("failed"), F.sum("skipped_content").alias("skipped_content"))
+    zero = F.lit(0).cast("bigint")
+    files = files.join(counts, "source_file", "left").select(
+        "source_file", F.coalesce("failed", zero).alias("failed"), F.coalesce("skipped_content", zero).alias("skipped_content"), "broken")
+    rows = files.join(splithistory.numbered_in_file(items, _loadable), "source_file", "left")
+    return staged.unionByName(rows.select(*_bulk_fields(F.col("item")), "source_file", "position", "failed", "skipped_content", "broken"))
+
+
+def load_report(documents: DataFrame) -> DataFrame:
+    """Per file: plays loaded, plays that cannot be read, other content skipped, and a status.
+
+    Counted inside each document, so nothing is exploded or shuffled.
+    """
+    return _with_status(_counted(with_items(documents), F.col("items").isNull().alias("broken")))
+
+
 def upload_plays(documents: DataFrame, shift_clock=True, recover=False) -> DataFrame:
     """Plays of uploaded documents with every gap filled and the clock moved by country.
 
@@ -188,12 +246,15 @@ def upload_plays(documents: DataFrame, shift_clock=True, recover=False) -> DataF
     ones fail.
     """
     items = F.col("items")
-    refused = F.raise_error(F.concat(F.lit("no JSON array of plays: "), F.col("source_file")))
+    refused = F.raise_error(F.concat(F.lit(f"{NO_ARRAY}: "), F.col("source_file")))
     readable = with_items(documents, recover).select(
-        "source_file", F.when(items.isNull(), refused.cast(_ITEMS)).otherwise(items).alias("items")
+        "source_file", F.when(items.isNull(), refused.cast(ITEMS)).otherwise(items).alias("items")
     )
-    rows = _each_item(readable, lambda i: i.isNotNull())
-    item = F.col("item")
+    plays = _each_item(readable, lambda i: i.isNotNull()).select(*_upload_fields(F.col("item")), "source_file", "position")
+    return shift_by_country(plays) if shift_clock else plays
+
+
+def _upload_fields(item: Column) -> list[Column]:
     raw = {n: _field(item, n) for n in PLAYS.fieldNames()}
     typed = {
         **raw,
@@ -202,13 +263,47 @@ def upload_plays(documents: DataFrame, shift_clock=True, recover=False) -> DataF
         "skipped": raw["skipped"].cast("boolean"),
         "platform": F.lit(None).cast("string"),
     }
-    filled = {
-        n: F.coalesce(typed[n], F.lit(UPLOAD_DEFAULTS[n])) if n in UPLOAD_DEFAULTS else typed[n]
+    return [
+        (F.coalesce(typed[n], F.lit(UPLOAD_DEFAULTS[n])) if n in UPLOAD_DEFAULTS else typed[n]).alias(n)
         for n in PLAYS.fieldNames()
-    }
-    plays = rows.select(*[c.alias(n) for n, c in filled.items()], "source_file", "position")
+    ]
+
+
+def _refusal(items: Column) -> Column:
+    """Why the upload refuses a document with these items; NULL where it does not."""
+
+    def some(name, read):
+        return F.exists(items, lambda i: _field(i, name).isNotNull() & read(_field(i, name)).isNull())
+
+    return (
+        F.when(items.isNull(), NO_ARRAY)
+        .when(some("ts", lambda v: F.try_to_timestamp(v, F.lit(TS_PATTERN))), "a time cannot be read")
+        .when(some("ms_played", lambda v: v.try_cast("bigint")), "a duration cannot be read")
+        .when(some("skipped", lambda v: v.try_cast("boolean")), "a skip flag cannot be read")
+    )
+
+
+def upload_or_refuse(documents: DataFrame, shift_clock=True, recover=False) -> DataFrame:
+    """``upload_plays`` with one more column, ``refused``: a document that would fail the job has one row, without play, that
+    says why."""
+    judged = with_items(documents, recover).select("source_file", "items", _refusal(F.col("items")).alias("refused"))
+    given = F.when(F.col("refused").isNull(), F.filter("items", lambda i: i.isNotNull()))
+    rows = judged.select("source_file", "refused", given.alias("items")).select(
+        "source_file", "refused", F.posexplode_outer("items").alias("position", "item"))
+    rows = rows.where(F.col("item").isNotNull() | F.col("refused").isNotNull())
+    accepted = F.col("refused").isNull()
+    fields = [F.when(accepted, c).alias(n) for n, c in zip(PLAYS.fieldNames(), _upload_fields(F.col("item")))]
+    plays = rows.select(*fields, "source_file", "position", "refused")
     return shift_by_country(plays) if shift_clock else plays
 
 
+def bulk_or_refuse(documents: DataFrame) -> DataFrame:
+    """``bulk_plays`` with one more column, ``refused``: a document that cannot be read has one row, without play, that says why."""
+    staged = staged_plays(documents)
+    staged = staged.where(F.col("position").isNotNull() | F.col("broken"))
+    return staged.select(*PLAYS.fieldNames(), "source_file", F.col("position").cast("int").alias("position"),
+                         F.when(F.col("broken"), NO_ARRAY).alias("refused"))
+
+
 def shift_by_country(plays: DataFrame) -> DataFrame:
     return plays.withColumn("ts", country_clock(F.col("ts"), F.col("country")))

@@ -14,12 +14,16 @@ from pyspark.sql import functions as F
 
 from playtrail.operators.overview import table_profile
 from playtrail.schemas import TRACKS
+from playtrail.session import scratch_path
 from playtrail.sources.genres import genre_dimension, track_genre_bridge
 from playtrail.sources.history import (
     HISTORY_GLOB,
-    bulk_plays,
+    WHOLE_BYTES,
     load_report,
+    plays_of,
     read_documents,
+    report_of,
+    staged_history,
     upload_plays,
 )
 from playtrail.sources.metadata import (
@@ -44,23 +48,32 @@ _VERSIONS = "place bigint, version string"
 
 class Loaded(NamedTuple):
     plays_written: bool
-    report: DataFrame  # per history file; parses the files again when used
+    report: DataFrame  # per history file, from the load itself; without a load it reads the files when used
     counts: DataFrame  # rows per table
 
 
 def load_export(spark: SparkSession, history_folder: str, metadata_path: str, root: str, load_id: str,
-                mode="if_empty", grain="day", files=HISTORY_GLOB) -> Loaded:
+                mode="if_empty", grain="day", files=HISTORY_GLOB, whole_bytes=WHOLE_BYTES) -> Loaded:
     """History and Parquet metadata of one export; ``load_id`` also names the track version.
 
     With ``if_empty`` plays are loaded into an empty table of plays, and metadata where there are no tracks yet. Plays
     are numbered in the order of their files, after those of the other loads.
+
+    The files are read and parsed once, into a table in the shared folder that holds their plays in columns; numbers, plays
+    and report come from there.
     """
-    documents = read_documents(spark, f"{history_folder}/{files}")
-    path = f"{root}/plays"
+    source, path = f"{history_folder}/{files}", f"{root}/plays"
     written = False
-    if mode != "if_empty" or is_empty(spark, path):
+    if mode == "if_empty" and not is_empty(spark, path):
+        report = load_report(read_documents(spark, source))
+    else:
+        stage = scratch_path(spark, "staged")
+        staged = staged_history(spark, source, whole_bytes)
+        staged.write.parquet(stage)
+        staged = spark.read.schema(staged.schema).parquet(stage)
+        report = report_of(staged)
         others = other_loads(spark, path, load_id) if mode == "append" else None
-        plays = number_new_plays(bulk_plays(documents), others).drop("source_file", "position")
+        plays = number_new_plays(plays_of(staged), others).drop("source_file", "position")
         written = load_plays(plays, path, load_id, mode, grain)
     current = current_version(spark, root)
     if mode != "if_empty" or current is None:
@@ -68,7 +81,7 @@ def load_export(spark: SparkSession, history_folder: str, metadata_path: str, ro
         tables = publish_tracks(spark, incoming, root, load_id)
     else:
         tables = read_version(spark, root, current)
-    return Loaded(written, load_report(documents), table_profile({**tables, "plays": read_plays(spark, path)}))
+    return Loaded(written, report, table_profile({**tables, "plays": read_plays(spark, path)}))
 
 
 def upload_history(spark: SparkSession, files: str, root: str, load_id: str, grain="day") -> bool:

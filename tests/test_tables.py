@@ -130,3 +130,75 @@ def test_unreadable_dropped_file_fails_the_upload_stream(spark, tmp_path):
     (folder / "a.json").write_text("invalid json")
     with pytest.raises(Exception, match="no JSON array"):
         filedrop.ingest(spark, str(folder), str(tmp_path / "l"), str(tmp_path / "p"), mode="upload")
+
+
+@pytest.mark.parametrize("mode", ["upload", "bulk"])
+def test_unreadable_files_go_into_quarantine(spark, tmp_path, mode):
+    """Bad files between good ones: the good ones land, the bad ones are listed once, also when the stream runs again."""
+    folder, landing, progress = tmp_path / "in", str(tmp_path / "landing"), str(tmp_path / "progress")
+    folder.mkdir()
+    late = {**PLAY, "ts": "28/05/2024"}
+    bodies = {"a": json.dumps([PLAY, PLAY]), "b": "invalid json", "c": json.dumps([PLAY])[:-25], "d": json.dumps([PLAY, late]),
+              "e": json.dumps([{**PLAY, "ms_played": "long"}]), "f": json.dumps([{**PLAY, "skipped": "perhaps"}]), "g": json.dumps([PLAY]), "h": "[]"}
+
+    def run():
+        filedrop.ingest(spark, str(folder), landing, progress, mode=mode, files_per_batch=2, quarantine=True)
+        refused = sorted((r.source_file[-6], r.reason) for r in filedrop.refused_files(spark, landing).collect())
+        return sorted(r.source_file[-6] for r in filedrop.landed_plays(spark, landing).collect()), refused
+
+    for name in "abcdefgh":
+        (folder / f"{name}.json").write_text(bodies[name])
+    landed, refused = run()
+    no_array = "no JSON array of plays"
+    if mode == "upload":
+        assert landed == ["a", "a", "g"]
+        assert refused == [("b", no_array), ("c", no_array), ("d", "a time cannot be read"), ("e", "a duration cannot be read"),
+                           ("f", "a skip flag cannot be read")]
+    else:
+        assert landed == ["a", "a", "d", "f", "g"]
+        assert refused == [("b", no_array), ("c", no_array)]
+    assert run() == (landed, refused)
+    (folder / "i.json").write_text(json.dumps([PLAY]))
+    (folder / "j.json").write_text("x")
+    again = run()
+    assert again == (sorted([*landed, "i"]), sorted([*refused, ("j", no_array)]))
+    table = str(tmp_path / "plays")
+    assert filedrop.publish(spark, landing, table, "first") and not filedrop.publish(spark, landing, table, "second")
+    plays = tables.read_plays(spark, table)
+    assert plays.count() == len(again[0])
+    require_columns(plays, PLAYS_WITH_ID)
+
+
+def test_accepted_uploads_are_the_same_with_and_without_quarantine(spark):
+    bodies = [json.dumps([PLAY, None, {}, {**PLAY, "conn_country": "GB"}]), "null", json.dumps([{"ts": "2024-01-01T00:30:00Z"}])]
+    docs = spark.createDataFrame([(str(i), b) for i, b in enumerate(bodies)], "source_file string, body string")
+    judged = history.upload_or_refuse(docs).drop("refused")
+    plain = history.upload_plays(docs)
+    assert judged.columns == plain.columns
+    assert sorted(map(str, judged.collect())) == sorted(map(str, plain.collect()))
+
+
+def test_looking_up_a_track_reads_little(spark, tmp_path):
+    """Rows that leave the scan of a track: a page or two of each file, and none for a track that is not there."""
+    path = str(tmp_path / "plays")
+    plays = spark.range(400_000, numPartitions=4).select(
+        (F.lit("2024-03-30 00:00:00").cast("timestamp_ntz") + F.make_dt_interval(secs=F.col("id") % 172_800)).alias("ts"),
+        F.concat(F.lit("spotify:track:"), F.md5((F.col("id") % 30_000).cast("string"))).alias("track_uri"), F.col("id").alias("ms_played"))
+    tables.load_plays(plays, path, "a", "append")
+
+    def scanned(uri):
+        found = tables.read_plays(spark, path).where(F.col("track_uri") == uri).select("ts", "ms_played")
+        rows = found.count()
+        plan = found._jdf.queryExecution().executedPlan()
+        read = found.select("ms_played")
+        assert len(read.collect()) == rows and plan is not None
+        done = read._jdf.queryExecution().executedPlan()
+        leaves = done.collectLeaves()
+        return rows, sum(leaves.apply(i).metrics().get("numOutputRows").get().value() for i in range(leaves.size()))
+
+    one = plays.where("id = 77").first().track_uri
+    rows, read = scanned(one)
+    assert rows in (13, 14) and rows <= read < 0.15 * 400_000
+    assert scanned(one[:-1] + ("0" if one[-1] != "0" else "1")) == (0, 0)
+    stored = tables.read_plays(spark, path)
+    assert stored.count() == 400_000 and stored.select("play_date").distinct().count() == 2
