@@ -8,12 +8,12 @@ from pyspark.sql import functions as F
 from checks.registry import check
 from checks.tables import sql
 from playtrail.functions.calendar import country_clock
-from playtrail.operators import enrich, overview, repetition
+from playtrail.operators import approximate, enrich, overview, repetition
 from playtrail.plans.ordered import number_by_position
 from playtrail.schemas import GENRES, PLAYS, TRACK_GENRES, TRACKS
 from playtrail.session import scratch_path
-from playtrail.sources import genres, history, load, metadata, tables
-from playtrail.streaming import filedrop
+from playtrail.sources import footers, genres, history, load, metadata, tables
+from playtrail.streaming import daily, filedrop
 
 _BULK = """SELECT at_second AS ts, ms AS ms_played, 'user ' || CAST(user_id AS VARCHAR) AS artist,
   'spotify:track:' || json_extract_string(props, '$.k') AS track_uri, reason_end,
@@ -326,3 +326,65 @@ check("preview",
       lambda t: enrich.preview(t.ev, 100).join(t.ev.select("id", "track_uri", "ms_played"), ["id", "track_uri", "ms_played"], "left_semi")
       .agg(F.count(F.lit(1)).alias("rows")),
       sql("SELECT LEAST(100, COUNT(*)) AS rows FROM plays"))
+
+
+# Stored plays: footers, sketches, days of a stream, lookups ------------------------------------------
+
+
+def _stored(t):
+    """The plays as two loads, of days and of months."""
+    path = scratch_path(t.spark, "stored")
+    tables.load_plays(t.ev.where("id % 3 = 0"), path, "a", "append")
+    tables.load_plays(t.ev.where("id % 3 <> 0"), path, "b", "append", "month")
+    return path
+
+
+check("stored_periods", lambda t: footers.stored_periods(t.spark, _stored(t)).withColumn("play_date", F.col("play_date").cast("timestamp_ntz")),
+      sql("""SELECT CASE WHEN id % 3 = 0 THEN 'a' ELSE 'b' END AS load_id,
+        CAST(DATE_TRUNC(CASE WHEN id % 3 = 0 THEN 'day' ELSE 'month' END, ts) AS TIMESTAMP) AS play_date, COUNT(*) AS plays
+        FROM plays GROUP BY 1, 2"""))
+check("stored_counts", lambda t: footers.stored_counts(t.spark, {"plays": _stored(t), "none": scratch_path(t.spark, "none")}),
+      sql("""SELECT 'plays' AS table_name, COUNT(*) AS row_count, COUNT(*) = 0 AS is_empty FROM plays
+        UNION ALL SELECT 'none', 0, true"""))
+check("stored_date_range", lambda t: footers.stored_date_range(t.spark, _stored(t)).select(
+          *[F.col(c).cast("timestamp_ntz").alias(c) for c in ("min_date", "max_date")]),
+      sql("""SELECT CAST(CAST(MIN(ts) AS DATE) AS TIMESTAMP) AS min_date, CAST(CAST(MAX(ts) AS DATE) AS TIMESTAMP) AS max_date FROM plays"""))
+check("track_lookup", lambda t: tables.read_plays(t.spark, _stored(t)).where(F.col("track_uri").endswith("7")).groupBy("track_uri").agg(
+          F.count(F.lit(1)).alias("plays"), F.sum("ms_played").alias("total_ms")),
+      sql("""SELECT track_uri, COUNT(*) AS plays, CAST(SUM(ms_played) AS BIGINT) AS total_ms FROM plays
+        WHERE track_uri LIKE '%7' GROUP BY 1"""))
+
+
+def _near(estimate, exact):
+    return (F.abs(F.col(estimate) - F.col(exact)) <= F.ceil(F.col(exact) * 0.05)).alias(f"{estimate}_near")
+
+
+def _sketched(t):
+    """Exact counts of each month, and whether merged sketches of days come near them."""
+    days = approximate.day_sketches(t.li)
+    exact = t.li.groupBy(F.date_trunc("month", "ts").cast("timestamp_ntz").alias("ts")).agg(
+        F.count_distinct("track").alias("tracks"), F.count_distinct("artist").alias("artists"))
+    found = [approximate.approximate_distinct(days, c).select("ts", F.col("distinct_values").alias(c)) for c in ("track", "artist")]
+    return exact.join(found[0], "ts").join(found[1], "ts").select("ts", "tracks", "artists", _near("track", "tracks"), _near("artist", "artists"))
+
+
+check("approximate_distinct", _sketched,
+      sql("""SELECT CAST(DATE_TRUNC('month', ts) AS TIMESTAMP) AS ts, COUNT(DISTINCT track) AS tracks, COUNT(DISTINCT artist) AS artists,
+        true AS track_near, true AS artist_near FROM plays GROUP BY 1""", "li"))
+
+
+def _streamed_days(t):
+    """Days that a stream has closed; a play far behind the others closes them all."""
+    landing, out, progress = (scratch_path(t.spark, n) for n in ("landing", "days", "progress"))
+    t.ev.select("ts", "ms_played").write.parquet(landing)
+    daily.start_daily(t.spark, landing, out, progress, "40 days").awaitTermination()
+    last = t.ev.agg((F.max("ts") + F.make_interval(years=F.lit(1))).alias("ts"), F.lit(0).cast("bigint").alias("ms_played"))
+    last.write.mode("append").parquet(landing)
+    daily.start_daily(t.spark, landing, out, progress, "40 days").awaitTermination()
+    return t.spark.read.parquet(out)
+
+
+check("plays_by_day_stream", _streamed_days,
+      sql("""SELECT CAST(DATE_TRUNC('day', ts) AS TIMESTAMP) AS day, COUNT(*) AS play_count, CAST(SUM(ms_played) AS BIGINT) AS total_ms,
+        ROUND(AVG(ms_played), 6) AS avg_ms, ROUND(SUM(ms_played) / 60000.0, 6) AS total_minutes, ROUND(AVG(ms_played) / 60000.0, 6) AS avg_minutes
+        FROM plays GROUP BY 1"""))
