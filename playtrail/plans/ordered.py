@@ -12,21 +12,6 @@ from pyspark.sql import functions as F
 
 from playtrail.session import scratch_path
 
-def number_by_position(df: DataFrame, start=0, file="source_file", position="position", name="id") -> DataFrame:
-    """Consecutive numbers ``start + 1, start + 2, ...`` in the order of files and of positions within a file.
-
-    Positions of a file count from 0 without gaps, so a number is the rows of earlier files plus the position: there is no
-    sort and no sample, and the result does not depend on the partitioning. The running sum has one row per file. A file
-    with a third of all rows is joined by its name; adaptive execution splits it where the sums are not broadcast.
-    """
-    sizes = df.groupBy(F.col(file).alias("_file")).agg((F.max(position) + 1).alias("_size"))
-    earlier = Window.orderBy("_file").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select("_file", F.coalesce(F.sum("_size").over(earlier), F.lit(0)).alias("_offset"))
-    number = (F.lit(start) + F.col("_offset") + F.col(position) + 1).cast("bigint").alias(name)
-    kept = [F.col(c) for c in df.columns]
-    return df.join(offsets, df[file].eqNullSafe(offsets["_file"])).select(number, *kept)
-
-
 def in_range_parts(df: DataFrame, order, name="_part") -> DataFrame:
     """``df`` dealt out by ranges of ``order``, and written with the number of each row's range, which rises with the order.
 
@@ -60,3 +45,24 @@ def neighbour_repeats_by_day(df: DataFrame, value: str, ts="ts", tie="id") -> Da
     same = F.col("_previous") == F.col(value)
     return with_previous(df, value, ts, tie).groupBy(F.date_trunc("day", ts).cast("timestamp_ntz").alias("day")).agg(
         F.count(same).alias("pairs"), F.count_if(same).alias("repeats"))
+
+
+def number_by_position(df: DataFrame, start=0, file="source_file", position="position", name="id") -> DataFrame:
+    """Consecutive numbers ``start + 1, start + 2, ...`` in the order of files and of positions within a file.
+
+    Positions of a file count from 0 without gaps, so a number is the rows of earlier files plus the position: there is no
+    sort of rows, and the result does not depend on the partitioning. Sizes are summed up inside ranges of files, and the
+    ranges in one more sum of a row each. A file with a third of all rows is joined by its name; adaptive execution splits it
+    where the sums are not broadcast.
+    """
+    sizes = df.groupBy(F.col(file).alias("_file")).agg((F.max(position) + 1).alias("_size"))
+    sizes = in_range_parts(sizes, ("_file",))
+    ends = sizes.groupBy("_part").agg(F.sum("_size").alias("_sum"))
+    earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = ends.select("_part", F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_start"))
+    inside = Window.partitionBy("_part").orderBy("_file").rowsBetween(Window.unboundedPreceding, -1)
+    before = F.col("_start") + F.coalesce(F.sum("_size").over(inside), F.lit(0))
+    offsets = sizes.join(starts, "_part").select("_file", before.alias("_offset"))
+    number = (F.lit(start) + F.col("_offset") + F.col(position) + 1).cast("bigint").alias(name)
+    kept = [F.col(c) for c in df.columns]
+    return df.join(offsets, df[file].eqNullSafe(offsets["_file"])).select(number, *kept)
