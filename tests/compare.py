@@ -34,7 +34,7 @@ def assert_same(spark, con, folder, build, oracle):
     assert sorted(df.columns) == sorted(kinds)
     spark_kind = {"bigint": ("BIGINT", "NUMBER"), "double": ("DOUBLE", "NUMBER"),
                   "string": ("VARCHAR", "STRING"), "boolean": ("BOOLEAN", "bool"),
-                  "timestamp_ntz": ("TIMESTAMP", "DATETIME")}
+                  "timestamp_ntz": ("TIMESTAMP", "DATETIME"), "int": ("INTEGER", "NUMBER")}
     got = rows_of(df.columns, [tuple(r) for r in df.collect()])
     want = rows_of([d[0] for d in ran.description], ran.fetchall())
     for name, kind in df.dtypes:
