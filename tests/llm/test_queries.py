@@ -9,7 +9,7 @@ from playtrail.llm import decontaminate, langid, pii, simhash
 from playtrail.llm.queries import ORACLES, QUERIES
 from playtrail.llm.shared import table
 from tests.compare import assert_same, connect
-from tests.llm.test_simhash import slow_groups
+from tests.llm.test_nearcopies import slow_groups
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -66,7 +66,7 @@ def test_pipeline_equals_its_parts(spark):
     assert set(got) == set(clean)
     for i, r in got.items():
         fixed = pii.base_spans(clean[i])
-        if not fixed and not pii.windows_of(clean[i]):
+        if not fixed and not list(pii.windows_of(clean[i])):
             assert r["text"] == clean[i]
         assert not pii.base_spans(r["text"]) and r["n_chars"] == len(r["text"])
         assert r["n_tokens"] == len(np.frombuffer(bytes(r["ids"]), "<u4"))
