@@ -20,12 +20,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from playtrail.llm.shared import written
+
 QUERY_BLOCK = 4096
 ROW_BLOCK = 8192
-PROJECTIONS = 64
+PROJECTIONS = 16
 WIDTH = 1.0
 SLACK = 1.8
-GROWTH = 1.06
+GROWTH = 1.2
+# Queries whose products with a block are made at once.
+TOGETHER = 64
 
 
 def rotations(dimensions: int, count: int = PROJECTIONS, seed: int = 29) -> np.ndarray:
@@ -73,11 +77,15 @@ class Block:
         spread = np.maximum(np.sqrt(norms), largest)
         edges = np.arange(len(self.shift)) * n
         for i, query in enumerate(queries):
-            counts, verified = np.zeros(n, np.int64), np.zeros(n, bool)
+            if i % TOGETHER == 0:
+                # A large share of a block is verified, and a product of matrices costs less than gathering that share.
+                products = queries[i:i + TOGETHER] @ self.rows.T
+            product = products[i % TOGETHER]
+            counts = np.zeros(n, np.int64)
             low = high = None
             # Beyond this half-width a window holds its whole array.
             whole = spread[i] + largest
-            found, scores = np.zeros(0, np.int64), np.zeros(0)
+            others = self.ids != query_ids[i]
             radius = max(float(start[i]), 1e-6 * largest, 1e-300)
             while True:
                 half = reach * radius
@@ -93,11 +101,9 @@ class Block:
                 seen = [self.order[a:b] for a, b in spans if a < b]
                 if seen:
                     counts += np.bincount(np.concatenate(seen), minlength=n)
-                fresh = np.flatnonzero((counts >= need) & ~verified)
-                verified[fresh] = True
-                fresh = fresh[self.ids[fresh] != query_ids[i]]
-                found = np.concatenate([found, fresh])
-                scores = np.concatenate([scores, self.rows[fresh] @ query])
+                verified = counts >= need
+                found = np.flatnonzero(verified & others)
+                scores = product[found]
                 if len(found) >= k:
                     kth = np.partition(scores, len(scores) - k)[len(scores) - k]
                     if norms[i] + largest ** 2 - 2 * kth <= radius ** 2:
@@ -139,16 +145,19 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, id_col="vec_id",
         F.col(id_col).cast("bigint").alias("id"), F.col(vec_col).cast("array<double>").alias("vec"),
         F.coalesce(is_query, F.lit(False)).alias("asks"))
     rows = rows.where(F.col("id").isNotNull() & usable(F.col("vec")))
-    rows = rows.groupBy("id").agg(F.min("vec").alias("vec"), F.bool_or("asks").alias("asks"))
+    rows = written(rows.groupBy("id").agg(F.min("vec").alias("vec"), F.bool_or("asks").alias("asks")), "vectors")
     norm = F.sqrt(F.aggregate("vec", F.lit(0.0), lambda total, x: total + x * x))
     n, asked, largest = rows.agg(F.count(F.lit(1)), F.count_if("asks"), F.max(norm)).first()
     row_blocks, query_blocks = -(-max(1, n) // row_block), -(-max(1, asked) // query_block)
     largest = float(largest or 0.0)
+    cells = min(row_blocks * query_blocks, int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
     def dealt(df, own, count, other, others):
         place = F.pmod(F.xxhash64("id", F.lit(31)), F.lit(count)).cast("int")
-        return df.select("id", "vec", F.size("vec").alias("d"), place.alias(own),
-                         F.explode(F.sequence(F.lit(0), F.lit(others - 1))).alias(other))
+        spread = df.select(F.col("id").alias("id"), F.col("vec").alias("vec"), F.size("vec").alias("d"), place.alias(own),
+                           F.explode(F.sequence(F.lit(0), F.lit(others - 1))).alias(other))
+        # A fixed number of parts: adaptive merging goes by bytes, and a few bytes are much work here.
+        return spread.repartition(cells, "d", "q", "r")
 
     asking = dealt(rows.where("asks"), "q", query_blocks, "r", row_blocks).groupBy("d", "q", "r")
     given = dealt(rows, "r", row_blocks, "q", query_blocks).groupBy("d", "q", "r")
