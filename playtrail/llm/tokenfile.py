@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from playtrail.llm.pieces import LONGEST_KEPT, PieceCoder, word_and_marks
+from playtrail.llm.pieces import PieceCoder
 from playtrail.llm.shared import process_cache
 
 SAMPLE_DOCS = 600
@@ -32,7 +32,7 @@ DICTIONARY_BYTES = 64 * 1024
 LEVEL = 3
 BLOCK_BYTES = 2_000_000
 GROUP_DOCS = 256
-KEPT_WORDS = 1_000_000
+PIECES_TOGETHER = 4096
 
 _BLOCKS = (
     "shard int, block int, first_id bigint, last_id bigint, dictionary string, doc_ids array<bigint>, "
@@ -56,8 +56,11 @@ class Encoder:
                  and not before.get("add_prefix_space") and not made.get("normalizer"))
         self.coder = PieceCoder(self._encode_pieces, lambda text: [text])
         self.code = self.coder.code if local else lambda texts: self._encode([t or "" for t in texts])
-
-        self.known: dict[str, bytes] = {}
+        # A byte-level entry has a character for each byte.
+        self.sizes = np.zeros(self.tokenizer.get_vocab_size() if local else 0, np.int64)
+        if local:
+            for entry, i in made["model"]["vocab"].items():
+                self.sizes[i] = len(entry)
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         from array import array
@@ -66,17 +69,24 @@ class Encoder:
         return [array("I", e.ids).tobytes() for e in found]
 
     def _encode_pieces(self, pieces: list[str]) -> list[bytes]:
-        """Letters and the marks behind them are separate to the tokenizer too, so words are remembered without marks."""
-        if len(self.known) > KEPT_WORDS:
-            self.known = {}
-        known, cut = self.known, [word_and_marks(p) or (p,) for p in pieces]
-        new = list(dict.fromkeys(w for words in cut for w in words if w not in known))
-        known.update(zip(new, self._encode(new)))
-        out = [b"".join([known[w] for w in words]) for words in cut]
-        for word in new:
-            if len(word) > LONGEST_KEPT:
-                del known[word]
-        return out
+        """Pieces of a space and what is no white space are encoded as one text, since no token reaches across such a space;
+        the ends of their tokens tell them apart. Others are encoded one by one."""
+        found, together, others = {}, [], []
+        for p in pieces:
+            (together if p[0] == " " and p.split() == [p[1:]] else others).append(p)
+        for start in range(0, len(together), PIECES_TOGETHER):
+            some = together[start:start + PIECES_TOGETHER]
+            (data,) = self._encode(["".join(some)])
+            ends = np.cumsum(self.sizes[np.frombuffer(data, "<u4")])
+            wanted = np.cumsum([len(p.encode()) for p in some])
+            at = np.searchsorted(ends, wanted, "right")
+            if ends[-1] != wanted[-1] or not np.array_equal(ends[at - 1], wanted):
+                others += some
+                continue
+            to = (4 * at).tolist()
+            found.update(zip(some, [data[a:b] for a, b in zip([0, *to], to)]))
+        found.update(zip(others, self._encode(others)))
+        return [found[p] for p in pieces]
 
 
 def _encoder(shared) -> Encoder:
@@ -182,7 +192,9 @@ def _samples(rows: DataFrame, tokenizer, width: int) -> list[bytes]:
     total = rows.count()
     place = F.pmod(F.xxhash64("id", F.lit(3)), F.lit(1_000_003)) / F.lit(1_000_003.0)
     chosen = rows.where(F.col("text").isNotNull() & (place < SAMPLE_DOCS / max(1, total)))
-    found = chosen.mapInArrow(pieces, "piece binary").limit(2 * SAMPLE_DOCS * SAMPLE_PIECES).collect()
+    # An id with very many rows is cut down to those of least hash, the same in every run.
+    chosen = chosen.orderBy(F.xxhash64("id", "text"), "text").limit(2 * SAMPLE_DOCS)
+    found = chosen.mapInArrow(pieces, "piece binary").collect()
     return sorted(bytes(r["piece"]) for r in found)
 
 
@@ -230,7 +242,7 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
 
     unpacked = blocks.select("shard", "before", "dictionary", "doc_ids", "counts", "offsets", "payload").mapInArrow(
         unpack, "shard int, doc_id bigint, in_shard bigint, n_tokens bigint, ids binary")
-    return unpacked.join(F.broadcast(starts), "shard").select(
+    return unpacked.join(starts, "shard").select(
         "doc_id", (F.col("shard_start") + F.col("in_shard")).alias("start"), "n_tokens", "ids")
 
 
