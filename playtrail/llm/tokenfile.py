@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from playtrail.llm.pieces import PieceCoder
+from playtrail.llm.pieces import KEPT_CHARS, LONGEST_KEPT, PieceCoder, pieces_of
 from playtrail.llm.shared import process_cache
 
 SAMPLE_DOCS = 600
@@ -33,12 +33,32 @@ LEVEL = 3
 BLOCK_BYTES = 2_000_000
 GROUP_DOCS = 256
 PIECES_TOGETHER = 4096
+BROADCAST_SHARDS = 500_000
 
 _BLOCKS = (
     "shard int, block int, first_id bigint, last_id bigint, dictionary string, doc_ids array<bigint>, "
     "counts array<bigint>, offsets array<bigint>, before bigint, tokens bigint, payload binary")
 
 
+class BatchCoder(PieceCoder):
+    """A ``PieceCoder`` that looks for new pieces in all texts of a call at once."""
+
+    def code(self, texts: list[str | None]) -> list[bytes]:
+        if self.chars > KEPT_CHARS:
+            self.known, self.chars = {"": b""}, 0
+        cut = [(pieces_of(t) or self.split(t)) if t else [] for t in texts]
+        new = list(set().union(*cut).difference(self.known))
+        if new:
+            self.known.update(zip(new, self.encode(new)))
+            self.chars += sum(map(len, new))
+        out = [b"".join(map(self.known.__getitem__, pieces)) for pieces in cut]
+        for p in new:
+            if len(p) > LONGEST_KEPT:
+                self.chars -= len(p)
+                del self.known[p]
+        return out
+
+
 class Encoder:
     """A tokenizer of the tokenizers library; texts are encoded piece by piece where its pre-tokenizer allows."""
 
@@ -54,7 +74,7 @@ class Encoder:
         before = made.get("pre_tokenizer") or {}
         local = (before.get("type") == "ByteLevel" and before.get("use_regex", True)
                  and not before.get("add_prefix_space") and not made.get("normalizer"))
-        self.coder = PieceCoder(self._encode_pieces, lambda text: [text])
+        self.coder = BatchCoder(self._encode_pieces, lambda text: [text])
         self.code = self.coder.code if local else lambda texts: self._encode([t or "" for t in texts])
         # A byte-level entry has a character for each byte.
         self.sizes = np.zeros(self.tokenizer.get_vocab_size() if local else 0, np.int64)
@@ -242,7 +262,9 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
 
     unpacked = blocks.select("shard", "before", "dictionary", "doc_ids", "counts", "offsets", "payload").mapInArrow(
         unpack, "shard int, doc_id bigint, in_shard bigint, n_tokens bigint, ids binary")
-    return unpacked.join(starts, "shard").select(
+    # A row of two numbers per write task; beyond this many, which no write has, they are joined like anything else.
+    few = blocks.select("shard").distinct().count() <= BROADCAST_SHARDS
+    return unpacked.join(F.broadcast(starts) if few else starts, "shard").select(
         "doc_id", (F.col("shard_start") + F.col("in_shard")).alias("start"), "n_tokens", "ids")
 
 
