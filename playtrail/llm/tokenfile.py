@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from playtrail.llm.pieces import KEPT_CHARS, LONGEST_KEPT, PieceCoder, pieces_of
+from playtrail.llm.pieces import LONGEST_KEPT, pieces_of
 from playtrail.llm.shared import process_cache
 
 SAMPLE_DOCS = 600
@@ -33,6 +33,7 @@ LEVEL = 3
 BLOCK_BYTES = 2_000_000
 GROUP_DOCS = 256
 PIECES_TOGETHER = 4096
+KEPT_PIECES = 500_000
 BROADCAST_SHARDS = 500_000
 
 _BLOCKS = (
@@ -40,22 +41,37 @@ _BLOCKS = (
     "counts array<bigint>, offsets array<bigint>, before bigint, tokens bigint, payload binary")
 
 
-class BatchCoder(PieceCoder):
-    """A ``PieceCoder`` that looks for new pieces in all texts of a call at once."""
+class _Recent(dict):
+    """Pieces seen lately; those of the generation before come over when they are asked for."""
+
+    def __init__(self, older):
+        self.older = older
+
+    def __missing__(self, piece):
+        value = self[piece] = self.older[piece]
+        return value
+
+
+class BatchCoder:
+    """Texts to bytes by way of ``encode(pieces) -> list of bytes``, new pieces being sought in all texts of a call at once.
+
+    Two generations of pieces are remembered, of ``KEPT_PIECES`` or the pieces of one call each; very long ones are not.
+    """
+
+    def __init__(self, encode):
+        self.encode, self.known = encode, _Recent({})
 
     def code(self, texts: list[str | None]) -> list[bytes]:
-        if self.chars > KEPT_CHARS:
-            self.known, self.chars = {"": b""}, 0
-        cut = [(pieces_of(t) or self.split(t)) if t else [] for t in texts]
-        new = list(set().union(*cut).difference(self.known))
-        if new:
-            self.known.update(zip(new, self.encode(new)))
-            self.chars += sum(map(len, new))
-        out = [b"".join(map(self.known.__getitem__, pieces)) for pieces in cut]
+        if len(self.known) > KEPT_PIECES:
+            self.known.older = {}
+            self.known = _Recent(self.known)
+        known, cut = self.known, [(pieces_of(t) or [t]) if t else [] for t in texts]
+        new = [p for p in set().union(*cut).difference(known) if p not in known.older]
+        known.update(zip(new, self.encode(new) if new else ()))
+        out = [b"".join(map(known.__getitem__, pieces)) for pieces in cut]
         for p in new:
             if len(p) > LONGEST_KEPT:
-                self.chars -= len(p)
-                del self.known[p]
+                del known[p]
         return out
 
 
@@ -74,7 +90,7 @@ class Encoder:
         before = made.get("pre_tokenizer") or {}
         local = (before.get("type") == "ByteLevel" and before.get("use_regex", True)
                  and not before.get("add_prefix_space") and not made.get("normalizer"))
-        self.coder = BatchCoder(self._encode_pieces, lambda text: [text])
+        self.coder = BatchCoder(self._encode_pieces)
         self.code = self.coder.code if local else lambda texts: self._encode([t or "" for t in texts])
         # A byte-level entry has a character for each byte.
         self.sizes = np.zeros(self.tokenizer.get_vocab_size() if local else 0, np.int64)
