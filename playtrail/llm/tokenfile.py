@@ -45,6 +45,7 @@ class _Recent(dict):
     """Pieces seen lately; those of the generation before come over when they are asked for."""
 
     def __init__(self, older):
+        super().__init__({"": b""})
         self.older = older
 
     def __missing__(self, piece):

@@ -1,5 +1,7 @@
 """Token files: exact round trip, order and starts, lookups, refusal of a wrong dictionary."""
 
+from pathlib import Path
+
 import numpy as np
 import public_tokenizers
 import pytest
@@ -72,3 +74,15 @@ def test_empty_table(spark):
 def test_dictionary_of_few_samples():
     assert tokenfile.train_dictionary([]) == b""
     assert tokenfile.train_dictionary([b"ab", b""]) == b"ab"
+
+
+def test_remembered_pieces_change_nothing(monkeypatch):
+    """Texts that begin with a mark, a space or a line feed, and generations of a few pieces."""
+    monkeypatch.setattr(tokenfile, "KEPT_PIECES", 5)
+    monkeypatch.setattr(tokenfile, "PIECES_TOGETHER", 3)
+    encoder = tokenfile.Encoder(Path(public_tokenizers.path("byte_bpe_50k.json")).read_text(encoding="utf-8"))
+    texts = ["\nab cd", ".x, y", " a b", "the cat, the dog.", None, "", "\n", "é ü, ß'll it's 12 345", "a\tb  c", "q" * 300 + " r", "the cat again"] * 3
+    for start in range(0, len(texts), 4):
+        some = texts[start:start + 4]
+        want = [encoder.tokenizer.encode(t or "", add_special_tokens=False).ids for t in some]
+        assert [np.frombuffer(b, "<u4").tolist() for b in encoder.code(some)] == want
