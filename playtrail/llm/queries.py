@@ -151,7 +151,8 @@ def _url_sql() -> str:
         parts += [
             f"b{i} AS (SELECT host, node, {name}, sum(urls) AS urls, sum(labelled) AS labelled, sum(bad) AS bad FROM t{i} GROUP BY ALL)",
             f"w{i} AS (SELECT host, node, sum(labelled) AS nl, sum(bad) AS nb FROM b{i} GROUP BY ALL)",
-            f"""j{i} AS (SELECT b.host, b.node, b.{name} AS seg, CASE WHEN b.{name} IS NULL THEN '' WHEN urls < {urltree.SUPPORT} THEN '/*'
+            f"""j{i} AS (SELECT b.host, b.node, b.{name} AS seg, CASE WHEN b.{name} IS NULL THEN '' WHEN urls < {urltree.SUPPORT} THEN
+        CASE WHEN labelled > 0 THEN '/*' ELSE '/?' END
       WHEN labelled < nl AND nb BETWEEN 1 AND nl - 1 AND
         coalesce(abs(bad / nullif(labelled, 0) - {share}) <= {urltree.DEVIATIONS} * sqrt({share} * (1 - {share}) / nullif(labelled, 0)), false)
       THEN '/+' ELSE '/' || b.{name} END AS step FROM b{i} b JOIN w{i} w ON b.host = w.host AND b.node = w.node)""",

@@ -5,11 +5,11 @@ longest fitting rule decides. What no rule decides is judged by its template. Pe
 most ``DEPTH`` segments, and level by level a segment turns into a wildcard
 
 * by its shape: digits, and names with digits in them, are variable;
-* by its support: a branch with fewer than ``SUPPORT`` urls below its node is variable, written ``*``;
+* by its support: a branch with fewer than ``SUPPORT`` urls below its node is variable, written ``*``, or ``?`` where none of them has a label;
 * by its labels: branches whose share of bad labels does not differ from their node's by ``DEVIATIONS`` standard deviations are
   similar and become one, written ``+``. A branch that alone holds all labels of its node has none to be similar to, and
-  where all labels of a node are alike there is no deviation to judge by; such branches keep their names. So urls without
-  labels never share a template with a labelled branch but by their own support.
+  where all labels of a node are alike there is no deviation to judge by; such branches keep their names. So a branch
+  without labels never shares a template with a labelled one.
 
 A template is rejected when its smoothed share of bad labels exceeds ``REJECT``. The smoothing adds two urls of even odds, and
 counts each url without label as ``UNLABELLED`` of one with even odds; so few labels do not condemn many unknown urls, and a
@@ -95,7 +95,8 @@ def templates(urls: DataFrame, depth: int = DEPTH, support: int = SUPPORT, devia
                 <= deviations * F.sqrt(F.try_divide(share * (1 - share), F.col("labelled"))))
         # Without labels nothing tells a branch apart by them, and its name stays.
         similar = (F.col("labelled") < F.col("node_labelled")) & (share > 0) & (share < 1) & near
-        step = F.when(F.col(name).isNull(), "").otherwise(F.concat(F.lit("/"), F.when(F.col("urls") < support, "*").when(
+        rare = F.when(F.col("labelled") > 0, "*").otherwise("?")
+        step = F.when(F.col(name).isNull(), "").otherwise(F.concat(F.lit("/"), F.when(F.col("urls") < support, rare).when(
             F.coalesce(similar, F.lit(False)), "+").otherwise(F.col(name))))
         judged = branches.join(whole, ["host", "node"]).select("host", "node", name, step.alias("step"))
         judged = judged.withColumnsRenamed({"host": "b_host", "node": "b_node", name: "b_name"})

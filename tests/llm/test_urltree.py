@@ -82,7 +82,7 @@ def slow_templates(rows, depth=urltree.DEPTH, support=urltree.SUPPORT, deviation
             known = [m[2] for m in some if m[2] is not None]
             step = name
             if len(some) < support:
-                step = "*"
+                step = "*" if known else "?"
             elif known and len(known) < len(labels) and 0 < sum(labels) < len(labels):
                 share = sum(labels) / len(labels)
                 if abs(sum(known) / len(known) - share) <= deviations * math.sqrt(share * (1 - share) / len(known)):
@@ -108,7 +108,7 @@ def test_templates_equal_a_slow_tree(spark):
     out = {r["i"]: r for r in urltree.judge(df, [], label=df["bad"]).collect()}
     want = slow_templates(rows)
     assert {i: r["template"] for i, r in out.items()} == want
-    assert {s for t in want.values() for s in t.split("/")} >= {"*", "+", "<n>", "<n>.html", "<id>", "**"}
+    assert {s for t in want.values() for s in t.split("/")} >= {"*", "?", "+", "<n>", "<n>.html", "<id>", "**"}
     by = {}
     for i, (h, _, bad) in enumerate(rows):
         by.setdefault((h, want[i]), []).append(bad)
