@@ -7,10 +7,10 @@ minimum rank, and contracts its leftmost pair of that rank, until no word has a
 follow at once, and the round contracts them too, left to right and without overlap; the result is the same, and a long
 word takes a round per rank instead of one per token.
 
-Decoding. The ids of a text, cut before tokens that begin with a space or a mark, become rows (piece, position, token), joined
-to the bytes of each token and gathered in order.
+Decoding. The ids of all texts of a batch, in stretches of equal length, become rows (stretch, position, token), joined to the bytes
+of each token and gathered in order; the bytes are cut into texts again by the lengths of their tokens.
 
-Spark partitions the texts; DuckDB sees blocks of bounded size, and pieces seen before are remembered.
+Spark partitions the texts; DuckDB sees blocks of bounded size, and pieces encoded before are remembered.
 """
 
 from __future__ import annotations
@@ -24,32 +24,31 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from playtrail.llm.pieces import LONGEST_KEPT, PieceCoder, word_and_marks
+from playtrail.llm.pieces import PieceCoder, word_and_marks
 from playtrail.llm.shared import process_cache
 
 # Texts are worked on in groups of about so many characters, words and pieces in blocks of so many bytes or tokens.
 GROUP_CHARS = 2_000_000
 BLOCK_ROWS = 400_000
-KEPT_WORDS = 450_000
-KEPT_DECODED = 300_000
+STRETCH = 4096
 LONG = 64
 
-# One contraction per word and round.
+# One contraction per word and round; places are those of all words one after another.
 _ENCODE = """
-WITH RECURSIVE state(w, pos, tok) USING KEY (w, pos) AS (
+WITH RECURSIVE state(w, pos, tok) USING KEY (pos) AS (
   SELECT w, pos, tok FROM seed
   UNION ALL
   (WITH live AS (
-     SELECT w, pos, tok, lead(tok) OVER s AS nxt, lead(pos) OVER s AS nxt_pos
-     FROM state WHERE tok IS NOT NULL WINDOW s AS (PARTITION BY w ORDER BY pos)),
+     SELECT w, pos, tok, lead(tok) OVER s AS nxt, lead(pos) OVER s AS nxt_pos, lead(w) OVER s AS nxt_w
+     FROM state WHERE tok IS NOT NULL WINDOW s AS (ORDER BY pos)),
    pairs AS (
      SELECT w, pos, tok, nxt_pos, rank::BIGINT * 16777216 + pos AS place
-     FROM live LEFT JOIN merges ON pair = tok::BIGINT * 16777216 + nxt),
+     FROM live LEFT JOIN merges ON pair = CASE WHEN nxt_w = w THEN tok::BIGINT * 16777216 + nxt END),
    least AS (SELECT w, min(place) AS place, arg_min(nxt_pos, place) AS gone FROM pairs WHERE place IS NOT NULL GROUP BY w)
    SELECT w, pos, CASE WHEN p.place = l.place THEN (l.place // 16777216)::INTEGER WHEN pos <> gone THEN tok END
    FROM pairs p JOIN least l USING (w))
 )
-SELECT w, tok FROM state WHERE tok IS NOT NULL ORDER BY w, pos
+SELECT w, tok FROM state WHERE tok IS NOT NULL ORDER BY pos
 """
 
 # All contractions of a round that must follow one another at once, for long words.
@@ -120,46 +119,34 @@ class DuckBpe:
         self.con.execute("CREATE TABLE vocabulary AS SELECT * FROM given")
         self.con.unregister("given")
         self.single = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
-        # Decoding may cut anywhere; before spaces and marks the pieces are mostly words.
-        self.starts = np.zeros(max(tokens) + 1, bool)
-        self.starts[[v for v, token in tokens.items() if token[0] < 128 and not token[:1].isalnum()]] = True
+        self.sizes = np.full(max(tokens) + 1, -1, np.int64)
+        self.sizes[list(tokens)] = [len(token) for token in tokens.values()]
         self.coder = PieceCoder(self._encode_pieces, self.words)
-        self.word_ids: dict[str, bytes] = {}
-        self.decoded: dict[bytes, bytes] = {}
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit numbers."""
         return self.coder.code(texts)
 
     def _encode_pieces(self, pieces: list[str]) -> list[bytes]:
-        if len(self.word_ids) > KEPT_WORDS:
-            self.word_ids = {}
         cut = [word_and_marks(p) or self.words(p) for p in pieces]
-        known = self.word_ids
-        new = list(dict.fromkeys(w for words in cut for w in words if w not in known))
-        hard = []
-        for word in new:
-            rank = self.ranks.get(word.encode())
-            if rank is None:
-                hard.append(word)
-            else:
+        known, short, long = {}, [], []
+        for word in dict.fromkeys(w for words in cut for w in words):
+            content = word.encode()
+            rank = self.ranks.get(content)
+            if rank is not None:
                 known[word] = rank.to_bytes(4, "little")
-        for sql, some in ((_ENCODE, [w for w in hard if len(w.encode()) <= LONG]),
-                          (_ENCODE_LONG, [w for w in hard if len(w.encode()) > LONG])):
-            for block in _blocks(some, len):
-                known.update(zip(block, self._merge([w.encode() for w in block], sql)))
-        out = [b"".join(map(known.__getitem__, words)) for words in cut]
-        for word in hard:
-            if len(word) > LONGEST_KEPT:
-                del known[word]
-        return out
+            else:
+                (short if len(content) <= LONG else long).append((word, content))
+        for sql, some in ((_ENCODE, short), (_ENCODE_LONG, long)):
+            for block in _blocks(some, lambda w: len(w[1])):
+                known.update(zip([w for w, _ in block], self._merge([c for _, c in block], sql)))
+        return [known[words[0]] if len(words) == 1 else b"".join(map(known.__getitem__, words)) for words in cut]
 
     def _merge(self, words: list[bytes], sql: str) -> list[bytes]:
         sizes = np.array([len(w) for w in words])
-        starts = np.cumsum(sizes) - sizes
         w = np.repeat(np.arange(len(words), dtype=np.int32), sizes)
         seed = pa.table({
-            "w": w, "pos": (np.arange(sizes.sum()) - np.repeat(starts, sizes)).astype(np.int32),
+            "w": w, "pos": np.arange(len(w), dtype=np.int32),
             "tok": self.single[np.frombuffer(b"".join(words), np.uint8)]})
         self.con.register("seed", seed)
         found = self.con.execute(sql).fetchnumpy()
@@ -170,44 +157,24 @@ class DuckBpe:
 
     def decode(self, coded: list[bytes]) -> list[bytes]:
         """The bytes of each list of ids. An id that is no token is an error."""
-        if len(self.decoded) > KEPT_DECODED:
-            self.decoded = {}
-        known, cut = self.decoded, []
-        for ids in coded:
-            values = np.frombuffer(ids, "<u4")
-            if len(values) and values.max() >= len(self.starts):
-                raise ValueError(f"no such token: {values.max()}")
-            edges = (np.flatnonzero(self.starts[values]) * 4).tolist()
-            edges = [0, *edges] if not edges or edges[0] else edges
-            cut.append([ids[a:b] for a, b in zip(edges, [*edges[1:], len(ids)])] if len(ids) else [])
-        new = list(dict.fromkeys(p for pieces in cut for p in pieces if p not in known))
-        for block in _blocks(new, lambda p: len(p) // 4):
-            known.update(zip(block, self._gather(block)))
-        out = [b"".join(map(known.__getitem__, pieces)) for pieces in cut]
-        for piece in new:
-            if len(piece) > 4 * LONGEST_KEPT:
-                del known[piece]
-        return out
+        tokens = np.frombuffer(b"".join(coded), "<u4")
+        if len(tokens) and (tokens.max() >= len(self.sizes) or self.sizes[tokens].min() < 0):
+            raise ValueError("ids that are no tokens")
+        plain = b"".join(self._gather(tokens[i:i + BLOCK_ROWS]) for i in range(0, len(tokens), BLOCK_ROWS))
+        places = np.concatenate([[0], np.cumsum(self.sizes[tokens])])
+        edges = places[np.cumsum([0, *[len(ids) // 4 for ids in coded]])].tolist()
+        return [plain[a:b] for a, b in zip(edges, edges[1:])]
 
-    def _gather(self, pieces: list[bytes]) -> list[bytes]:
-        sizes = np.array([len(p) // 4 for p in pieces])
-        starts = np.cumsum(sizes) - sizes
-        tokens = np.frombuffer(b"".join(pieces), "<u4")
-        seed = pa.table({
-            "w": np.repeat(np.arange(len(pieces), dtype=np.int32), sizes),
-            "pos": (np.arange(len(tokens)) - np.repeat(starts, sizes)).astype(np.int32), "tok": tokens.astype(np.int32)})
-        self.con.register("seed", seed)
+    def _gather(self, tokens: np.ndarray) -> bytes:
+        pos = np.arange(len(tokens), dtype=np.int32)
+        self.con.register("seed", pa.table({"w": pos // STRETCH, "pos": pos, "tok": tokens.astype(np.int32)}))
         texts = self.con.sql(_DECODE).to_arrow_table().column("text").combine_chunks()
         self.con.unregister("seed")
-        if len(texts) != len(pieces):
-            raise ValueError("ids that are no tokens")
         # Every character is two bytes of UTF-8: 110000xx or 110001xx, then 10xxxxxx.
         texts = texts.cast(pa.large_string())
         offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset:texts.offset + len(texts) + 1]
         pairs = np.frombuffer(texts.buffers()[2], np.uint8)[offsets[0]:offsets[-1]].reshape(-1, 2)
-        plain = ((pairs[:, 0] << 6) | (pairs[:, 1] & 63)).tobytes()
-        edges = ((offsets - offsets[0]) // 2).tolist()
-        return [plain[a:b] for a, b in zip(edges, edges[1:])]
+        return ((pairs[:, 0] << 6) | (pairs[:, 1] & 63)).tobytes()
 
 
 def _blocks(items: list, size):

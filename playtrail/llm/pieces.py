@@ -41,25 +41,30 @@ def word_and_marks(piece: str) -> tuple[str, ...] | None:
 class PieceCoder:
     """Texts to bytes by way of ``encode(pieces) -> list of bytes``; ``split(text)`` serves texts with other white space.
 
-    The memory of known pieces is bounded and starts anew beyond that; very long pieces are not kept.
+    Known pieces are kept in two generations: when the younger is full, the older goes, and what is met again there moves to the
+    younger. Very long pieces are not kept.
     """
 
     def __init__(self, encode, split):
         self.encode, self.split = encode, split
         self.known: dict[str, bytes] = {"": b""}
+        self.older: dict[str, bytes] = {}
         self.chars = 0
 
     def code(self, texts: list[str | None]) -> list[bytes]:
         if self.chars > KEPT_CHARS:
-            self.known, self.chars = {"": b""}, 0
+            self.known, self.older, self.chars = {"": b""}, self.known, 0
         known, cut = self.known, []
         for text in texts:
             pieces = pieces_of(text) if text else []
             cut.append(self.split(text) if pieces is None else pieces)
-        new = list(dict.fromkeys(p for pieces in cut for p in set(pieces).difference(known)))
+        unseen = dict.fromkeys(p for pieces in cut for p in set(pieces).difference(known))
+        self.chars += sum(map(len, unseen))
+        again = {p: self.older[p] for p in unseen if p in self.older}
+        known.update(again)
+        new = [p for p in unseen if p not in again]
         if new:
             known.update(zip(new, self.encode(new)))
-            self.chars += sum(map(len, new))
         out = [b"".join(map(known.__getitem__, pieces)) for pieces in cut]
         for p in new:
             if len(p) > LONGEST_KEPT:

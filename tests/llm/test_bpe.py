@@ -58,8 +58,7 @@ def test_long_words_of_few_letters(duck, library):
 
 def test_memory_of_pieces_is_bounded_and_changes_nothing(duck, library, monkeypatch):
     monkeypatch.setattr(pieces, "KEPT_CHARS", 20)
-    monkeypatch.setattr(bpe, "KEPT_WORDS", 3)
-    monkeypatch.setattr(bpe, "KEPT_DECODED", 3)
+    monkeypatch.setattr(bpe, "STRETCH", 3)
     monkeypatch.setattr(bpe, "BLOCK_ROWS", 10)
     for _ in range(2):
         same(duck, library, ["some words of a text", *ODD[:6], "more of other words"])
