@@ -2,12 +2,11 @@
 
 A credential has parts: an access identifier, a secret, an endpoint. Strong identifiers and secrets are reported by
 themselves. Weak ones (too short for the patterns, or an unlabelled random string) are reported when a complementary part
-lies within ``REACH`` characters of them in the same scope, a run of lines without a blank one: an identifier beside a
-weak secret, a secret beside a weak identifier, an endpoint beside either.
+lies in the same scope, a run of lines without a blank one, at any distance: an identifier beside a weak secret, a secret
+beside a weak identifier, an endpoint beside either.
 
-Parts are found per text; they are then joined as intervals in Spark: each part covers the bins that it reaches, and
-candidates meet parts by document, scope and bin. Parts of one sort never overlap, so the pairs of a bin are bounded by its
-width and all pairs by the length of the texts.
+Parts are found per text, each within the interval of its scope. In Spark the parts of a scope become the set of roles that occur
+there, three at most, and candidates meet that row: work and rows are in proportion to the parts, however many share a scope.
 """
 
 from __future__ import annotations
@@ -21,8 +20,6 @@ from pyspark.sql import functions as F
 from playtrail.llm.shared import written
 
 KINDS = ("assign", "access", "hex", "weak_access", "weak_secret")
-REACH = 200
-BIN = 256
 # The patterns of the base kinds.
 _WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 _ASSIGN = re.compile(
@@ -115,29 +112,23 @@ def _searched(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return rows.select("id", "key", "found.base", "found.parts")
 
 
-def links(searched: DataFrame, reach: int = REACH) -> DataFrame:
-    """``(id, key, role, start, stop, with_role, with_start, with_stop)``: weak candidates and the complementary parts that
-    they meet, once each, from ``searched (id, key, parts)``. Repeated documents count once."""
-    rows = searched.where(F.size("parts") > 0).select("id", "key", F.explode("parts").alias("p")).select("id", "key", "p.*").distinct()
-
-    def binned(df, low, high):
-        return df.withColumn("bin", F.explode(F.sequence(F.expr(f"({low}) div {BIN}"), F.expr(f"({high}) div {BIN}"))))
-
-    weak = binned(rows.where("weak"), "start", "stop").drop("weak").alias("c")
-    others = rows.drop("weak").withColumnsRenamed({"role": "with_role", "start": "with_start", "stop": "with_stop"})
-    others = binned(others, f"greatest(with_start - {reach}, 0)", f"with_stop + {reach}").alias("o")
-    meets = (
-        F.col("c.id").eqNullSafe(F.col("o.id")) & (F.col("c.key") == F.col("o.key")) & (F.col("c.scope") == F.col("o.scope"))
-        & (F.col("c.bin") == F.col("o.bin")) & (F.col("c.role") != F.col("o.with_role"))
-        & (F.col("with_start") <= F.col("stop") + reach) & (F.col("with_stop") >= F.col("start") - reach))
-    return weak.join(others, meets).select(
-        "c.id", "c.key", "role", "start", "stop", "with_role", "with_start", "with_stop").distinct()
+def links(searched: DataFrame) -> DataFrame:
+    """``(id, key, scope, role, start, stop, with_roles)``: weak candidates and the complementary roles of their scope, once each,
+    from ``searched (id, key, parts)``. Repeated documents count once; candidates without a complement are left out."""
+    rows = searched.where(F.size("parts") > 0).select("id", "key", F.explode("parts").alias("p")).select("id", "key", "p.*")
+    met = (rows.groupBy("id", "key", "scope").agg(F.collect_set("role").alias("roles")).where(F.size("roles") > 1)
+           .withColumnsRenamed({"id": "s_id", "key": "s_key", "scope": "s_scope"}))
+    weak = rows.where("weak").drop("weak").distinct()
+    same = weak["id"].eqNullSafe(met["s_id"]) & (weak["key"] == met["s_key"]) & (weak["scope"] == met["s_scope"])
+    return weak.join(met, same).select(
+        "id", "key", "scope", "role", "start", "stop", F.array_sort(F.array_remove("roles", F.col("role"))).alias("with_roles"))
 
 
 def find(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFrame:
     """One row per document: its id, and the arrays ``base`` and ``added`` of (kind, start, stop) in code points, by start.
 
-    Null texts count as empty. Rows of one id are told apart by their text; null ids are kept.
+    Null texts count as empty. Rows of one id are told apart by their text; null ids are kept. Very long texts are searched whole, in
+    linear time; an empty table gives no rows.
     """
     searched = written(_searched(docs, id_col, text_col), "credential-parts")
     added = (

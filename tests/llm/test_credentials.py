@@ -44,7 +44,8 @@ def test_weak_candidates_need_a_complementary_part(spark):
     id_, key = ("weak_access", 3, 17), ("weak_secret", 26, 44)
     far = 5 * 100_000
     assert got == [
-        (-1, [], [id_, key]), (1, [], []), (1, [], [id_, key]), (1, [], [id_, key]), (2, [], []), (3, [], []), (4, [], []), (5, [], []),
+        (-1, [], [id_, key]), (1, [], []), (1, [], [id_, key]), (1, [], [id_, key]), (2, [], []), (3, [], []), (4, [], []),
+        (5, [], [("weak_access", 0, 14), ("weak_secret", 255, 273)]),
         (6, [], [("weak_secret", 0, 18)]), (7, ["assign"], [("weak_access", 0, 14)]), (8, [], []), (9, [], []),
         (10, [], [("weak_access", far + 3, far + 17), ("weak_secret", far + 26, far + 44)]), (11, ["access"], [("weak_secret", 0, 18)])]
 
@@ -69,9 +70,17 @@ def test_links_equal_brute_force(spark):
     for i, text in rows:
         parts = credentials.parts_of(text, credentials.base_spans(text))
         want = {(a, b) for r, w, a, b, s in parts if w and any(
-            r != r2 and s == s2 and a2 <= b + credentials.REACH and b2 >= a - credentials.REACH for r2, _, a2, b2, s2 in parts)}
+            r != r2 and s == s2 for r2, _, a2, b2, s2 in parts)}
         assert got[i] == want
 
 
+def test_many_parts_of_one_scope_take_linear_work(spark):
+    text = f"{ID} " * 20_000 + f"{KEY} " * 20_000
+    df = spark.createDataFrame([(1, text), (1, text)], "doc_id bigint, text string")
+    searched = credentials._searched(df, "doc_id", "text")
+    met = credentials.links(searched)
+    assert met.count() == 40_000 and met.where("size(with_roles) <> 1").count() == 0
+
+
 def test_empty_table(spark):
     assert found(spark, []) == []
