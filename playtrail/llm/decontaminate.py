@@ -12,6 +12,7 @@ Items of fewer than ``MIN_MATCH`` words cannot be tiled and never count. Null te
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -52,53 +53,96 @@ def seeds_of(text: str | None, size: int = MIN_MATCH) -> np.ndarray:
     return total ^ (total >> np.uint64(31))
 
 
+class _Marked:
+    """Positions taken by tiles, as sorted intervals."""
+
+    def __init__(self):
+        self.starts, self.stops = [], []
+
+    def free(self, start: int, n: int) -> bool:
+        i = bisect_left(self.starts, start + n)
+        return i == 0 or self.stops[i - 1] <= start
+
+    def add(self, start: int, n: int):
+        i = bisect_left(self.starts, start)
+        self.starts.insert(i, start)
+        self.stops.insert(i, start + n)
+
+
+def _places(doc: dict[int, int], copies: int) -> list[int]:
+    """The positions of ``doc``, rising, without all but the first ``copies`` of its equal stretches.
+
+    A tile lies in one stretch of consecutive positions, and earlier ones go first. So with more copies than there can be
+    tiles, one of those before is always untouched, and the later ones get none.
+    """
+    kept, seen, stretch = [], {}, []
+
+    def close():
+        content = tuple(doc[p] for p in stretch)
+        seen[content] = seen.get(content, 0) + 1
+        if seen[content] <= copies:
+            kept.extend(stretch)
+
+    for p in sorted(doc):
+        if stretch and p != stretch[-1] + 1:
+            close()
+            stretch = []
+        stretch.append(p)
+    close()
+    return kept
+
+
 def tiles_of(doc: dict[int, int], item: list[int], size: int = MIN_MATCH) -> list[tuple[int, int, int]]:
     """Greedy tiles (document word, item word, words) of seeds at document positions and an item's seeds.
 
     A run of n equal seeds is a run of n + size - 1 equal words. Passes look for runs of at least s words by their
     running hash, extend them, and mark the longest first; s falls by halves to ``size``, and the last pass repeats
-    until it marks nothing.
+    until it marks nothing. A pass that meets a run of more than twice s words ends there, and s rises to the longest run.
     """
-    used_doc: set[int] = set()
-    used_item = [False] * (len(item) + size - 1)
+    total = len(item) + size - 1
+    used_doc, used_item = _Marked(), _Marked()
     tiles = []
+    item_at, doc_places = dict(enumerate(item)), _places(doc, total // size + 1)
 
-    def free(p, q, n):
-        return all(p + i not in used_doc for i in range(n)) and not any(used_item[q:q + n])
+    def extended(p, q, words):
+        while (q + words < total and used_item.free(q + words, 1) and used_doc.free(p + words, 1)
+               and doc.get(p + words - size + 1) == item[q + words - size + 1]):
+            words += 1
+        return words
 
     def scan(s):
         n = s - size + 1
         at: dict[int, list[int]] = {}
-        for q, h in _windows(dict(enumerate(item)), n):
-            if not any(used_item[q:q + s]):
+        for q, h in _windows(item_at, range(len(item)), n):
+            if used_item.free(q, s):
                 at.setdefault(h, []).append(q)
         found, longest = [], 0
-        for p, h in _windows(doc, n):
-            for q in at.get(h, ()):
-                if any(doc[p + i] != item[q + i] for i in range(n)) or not free(p, q, s):
-                    continue
-                if p - 1 in doc and q and doc[p - 1] == item[q - 1] and free(p - 1, q - 1, s):
+        for p, h in _windows(doc, doc_places, n) if at else ():
+            if h not in at or not used_doc.free(p, s):
+                continue
+            for q in at[h]:
+                if (q and doc.get(p - 1) == item[q - 1] and used_doc.free(p - 1, 1) and used_item.free(q - 1, 1)):
                     continue  # part of a longer run
-                words = s
-                while (q + words < len(used_item) and not used_item[q + words] and p + words not in used_doc
-                       and doc.get(p + words - size + 1) == item[q + words - size + 1]):
-                    words += 1
+                words = extended(p, q, s)
+                if words > 2 * s:
+                    return found, words
                 found.append((words, p, q))
                 longest = max(longest, words)
         return found, longest
 
-    s = max(size, min(20, len(used_item)))
+    s, risen = max(size, min(20, total)), False
     while True:
         found, longest = scan(s)
-        if longest > 2 * s:
-            s = longest
+        if longest > 2 * s or risen and longest > s:
+            s, risen = longest, True
             continue
-        marked = 0
+        risen, marked = False, 0
         for words, p, q in sorted(found, key=lambda m: (-m[0], m[1], m[2])):
-            if free(p, q, words):
+            if (used_doc.free(p, words) and used_item.free(q, words)
+                    and all(doc[p + i] == item[q + i] for i in range(words - size + 1))):
                 tiles.append((p, q, words))
-                used_doc.update(range(p, p + words))
-                used_item[q:q + words] = [True] * words
+                used_doc.add(p, words)
+                used_item.add(q, words)
                 marked += 1
         if s > size:
             s = max(size, s // 2)
@@ -106,12 +150,12 @@ def tiles_of(doc: dict[int, int], item: list[int], size: int = MIN_MATCH) -> lis
             return sorted(tiles)
 
 
-def _windows(seeds: dict[int, int], n: int):
-    """Running hash of each n seeds at consecutive positions."""
+def _windows(seeds: dict[int, int], places, n: int):
+    """Running hash of each n seeds at consecutive positions; ``places`` are all positions, rising."""
     modulus, base = (1 << 61) - 1, 911382323
     top = pow(base, n - 1, modulus)
     run, value, before = 0, 0, None
-    for p in sorted(seeds):
+    for p in places:
         if before is None or p != before + 1:
             run, value = 0, 0
         if run == n:
