@@ -203,5 +203,5 @@ def identify(docs: DataFrame, model: dict | None, text_col="text") -> DataFrame:
 def keep_identified(docs: DataFrame, **names) -> DataFrame:
     """The documents whose language is recognised, with their own columns."""
     text = names.get("text_col", "text")
-    plain = docs.select(F.col(text).alias("text"), F.struct(*docs.columns).alias("row"))
+    plain = docs.select(F.col(text).alias("text"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     return identify(plain, fit(docs, **names)).where("NOT rejected").select("row.*")

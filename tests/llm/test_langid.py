@@ -71,6 +71,8 @@ def test_edge_rows(spark):
     assert by_text["the " * 100_000][0] == "en"
     kept = langid.keep_identified(df)
     assert kept.columns == df.columns and kept.count() == 27
+    dotted = langid.keep_identified(df.withColumnRenamed("score", "a.score"))
+    assert dotted.columns == ["doc_id", "text", "lang", "a.score", "rejected"] and dotted.count() == 27
 
 
 def test_without_labels_all_is_unknown(spark):
