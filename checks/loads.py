@@ -44,13 +44,7 @@ def _from_files(t):
 
 def _from_split_files(t):
     """Every file read by many tasks, in ranges of some objects."""
-    folder, key = _as_files(t), "spark.sql.files.maxPartitionBytes"
-    before = t.spark.conf.get(key)
-    t.spark.conf.set(key, "20000")
-    try:
-        staged = history.staged_history(t.spark, folder, whole_bytes=0)
-    finally:
-        t.spark.conf.set(key, before)
+    staged = history.staged_history(t.spark, _as_files(t), whole_bytes=0, range_bytes=20000)
     return history.plays_of(staged).select(*_PLAYED)
 
 

@@ -210,18 +210,19 @@ def report_of(staged: DataFrame) -> DataFrame:
     return _with_status(counts)
 
 
-def staged_history(spark: SparkSession, path: str, whole_bytes: int = WHOLE_BYTES) -> DataFrame:
-    """``staged_plays`` of all files below ``path``; those above ``whole_bytes`` are read by many tasks.
+def staged_history(spark: SparkSession, path: str, whole_bytes: int = WHOLE_BYTES, range_bytes: int | None = None) -> DataFrame:
+    """``staged_plays`` of all files below ``path``; those above ``whole_bytes`` are read by many tasks, in ranges of
+    ``range_bytes`` (those of the session, if None).
 
-    The driver sees the names of the large files only.
+    Sizes come from the listing of the folder, so no file is opened for them and the driver sees no names.
     """
     from playtrail.sources import splithistory
 
-    large = [r["path"] for r in spark.read.format("binaryFile").load(path).where(F.col("length") > whole_bytes).select("path").collect()]
     staged = staged_plays(read_documents(spark, path, whole_bytes))
-    if not large:
+    large = spark.read.text(path, wholetext=True).where(F.col("_metadata.file_size") > whole_bytes)
+    if large.rdd.getNumPartitions() == 0:
         return staged
-    items, files = splithistory.split_items(spark, large)
+    items, files = splithistory.split_items(spark, path, above=whole_bytes, range_bytes=range_bytes)
     counts = _counted(items).groupBy("source_file").agg(F.sum("failed").alias("failed"), F.sum("skipped_content").alias("skipped_content"))
     zero = F.lit(0).cast("bigint")
     files = files.join(counts, "source_file", "left").select(

@@ -30,15 +30,32 @@ def _kept(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def read_pieces(spark: SparkSession, paths: list[str]) -> DataFrame:
+def read_pieces(spark: SparkSession, paths, above: int | None = None) -> DataFrame:
     """(source_file, size, block, place, text): the files cut behind each closing brace, which the text leaves out.
 
-    ``block`` is the first byte of the range that a task read, ``place`` the order inside the range.
+    ``block`` is the first byte of the range that was read, ``place`` the order inside the range. With ``above``, only files of more
+    bytes are opened. Many small ranges are read by one task, else what is written has a file for each.
     """
-    return spark.read.option("lineSep", "}").text(paths).select(
+    files = spark.read.option("lineSep", "}").text(paths)
+    if above is not None:
+        files = files.where(F.col("_metadata.file_size") > above)
+    pieces = files.select(
         F.col("_metadata.file_path").alias("source_file"), F.col("_metadata.file_size").alias("size"),
         F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("place"),
         F.col("value").alias("text"))
+    return pieces.coalesce(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 3 * spark.sparkContext.defaultParallelism))
+
+
+def _read_in_ranges(spark: SparkSession, paths, above: int | None, range_bytes: int | None) -> DataFrame:
+    """``read_pieces``, written, with ranges of ``range_bytes`` in place of the session's; other tables keep the latter."""
+    key = "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(key)
+    if range_bytes is not None:
+        spark.conf.set(key, str(range_bytes))
+    try:
+        return _kept(read_pieces(spark, paths, above), "read-pieces")
+    finally:
+        spark.conf.set(key, before)
 
 
 def _count(text, marks: str):
@@ -103,9 +120,13 @@ def _segments(rows: DataFrame, cell_bytes: int) -> DataFrame:
     return found.select("source_file", "segment", "closed", F.when(~F.col("large"), text).alias("text"))
 
 
-def split_items(spark: SparkSession, paths: list[str], cell_bytes: int = CELL_BYTES) -> tuple[DataFrame, DataFrame]:
-    """The items of the files as (source_file, segment, items), and (source_file, broken) for every file that is not empty."""
-    rows = _kept(_located(_kept(read_pieces(spark, paths), "read-pieces")), "located")
+def split_items(spark: SparkSession, paths, cell_bytes: int = CELL_BYTES, above: int | None = None,
+                range_bytes: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """The items of the files as (source_file, segment, items), and (source_file, broken) for every file that is not empty.
+
+    ``paths`` are files, or a folder or glob of which the files of more than ``above`` bytes are taken.
+    """
+    rows = _kept(_located(_read_in_ranges(spark, paths, above, range_bytes)), "located")
     text, first = F.col("text"), F.col("segment") == 0
     head = F.when(first, F.ltrim(text, F.lit(TRIMMED))).otherwise(text)
     # Behind another segment the text goes on with a comma; in place of what is before it an empty item stands.

@@ -110,3 +110,14 @@ def test_load_of_small_and_large_files_parses_once(spark, tmp_path):
         ("1.json", 199, 0, "loaded"), ("2.json", 1, 1, "loaded"), ("3.json", 0, 0, "failed")]
     plays = read_plays(spark, str(tmp_path / "root/plays")).orderBy("id").collect()
     assert [(r.id, r.ms_played) for r in plays] == [(n + 1, n) for n in range(199)] + [(200, 214503)]
+
+
+def test_many_small_ranges_are_read_by_few_tasks(spark, tmp_path):
+    for i in range(60):
+        (tmp_path / f"{i}.json").write_text('[{"ts":"2024-01-01T00:00:00Z"},{"ts":"2024-01-02T00:00:00Z"}]')
+    with settings(spark, {"spark.sql.files.maxPartitionBytes": "41"}):
+        pieces = splithistory.read_pieces(spark, str(tmp_path), 0)
+        assert pieces.rdd.getNumPartitions() <= 3 * spark.sparkContext.defaultParallelism
+        assert pieces.select("source_file", "block").distinct().count() > 60
+    found = history.staged_history(spark, str(tmp_path), 0, range_bytes=41)
+    assert rows_of(found) == rows_of(history.staged_history(spark, str(tmp_path)))
