@@ -31,10 +31,16 @@ _REPORT = sql("""counted AS (SELECT no, COUNT(*) FILTER (music) AS inserted,
       FROM docs LEFT JOIN counted USING (no)""")
 
 
+def _write_files(documents, folder) -> None:
+    """Each document as one file. Tasks move their files into place themselves; the driver would move all of them one by one."""
+    (documents.select("body").write.mode("append").option("maxRecordsPerFile", 1)
+     .option("mapreduce.fileoutputcommitter.algorithm.version", "2").text(folder))
+
+
 def _as_files(t) -> str:
     """The documents as one file each, in a new shared folder."""
     folder = scratch_path(t.spark, "history")
-    t.documents.select("body").write.option("maxRecordsPerFile", 1).text(folder)
+    _write_files(t.documents, folder)
     return folder
 
 
@@ -115,8 +121,7 @@ def _published(t):
     folder, landing, progress, table = (scratch_path(t.spark, n) for n in ("drop", "landing", "progress", "published"))
     for part, load in ((0, "first"), (1, "second"), (None, "second"), (None, "third")):
         if part is not None:
-            documents = t.documents.where(F.col("source_file").cast("bigint") % 2 == part).select("body")
-            documents.write.mode("append").option("maxRecordsPerFile", 1).text(folder)
+            _write_files(t.documents.where(F.col("source_file").cast("bigint") % 2 == part), folder)
             filedrop.ingest(t.spark, folder, landing, progress)
         assert filedrop.publish(t.spark, landing, table, load, "month") == (load != "third")
     plays = tables.read_plays(t.spark, table)
@@ -138,7 +143,7 @@ def _reloaded(t):
     assert not tables.load_plays(first, path, "third", "if_empty", "month")
     for _ in range(2):
         assert tables.load_plays(second, path, "second", "append", "month")
-    t.documents.select("body").write.option("maxRecordsPerFile", 1).text(f"{export}/files")
+    _write_files(t.documents, f"{export}/files")
     t.tracks.withColumn("album_release_date", F.col("album_release_date").cast("string")).write.parquet(f"{export}/metadata")
 
     for mode, name in (("if_empty", "a"), ("if_empty", "a"), ("append", "a"), ("append", "b"), ("append", "b"), ("replace_all", "c"), ("replace_all", "c")):
