@@ -7,6 +7,9 @@ streaming DataFrames alike.
 
 from __future__ import annotations
 
+import re
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -48,11 +51,38 @@ TRIMMED = " \t\r\n\f\x0b"
 WHOLE_BYTES = 64 << 20
 
 
+def read_text(spark: SparkSession, path: str | list[str], **options) -> DataFrame:
+    """The text files at ``path`` (folder or glob), found by listing one folder where that finds the same.
+
+    Given a glob, Spark lists each file that it matches once more by itself, in a job of up to 10,000 tasks. So where only the last
+    part is a glob, its folder is listed, and the files are chosen by their names. A folder that holds folders, or no file of such a
+    name, is left to Spark.
+    """
+    folder, _, name = path.rpartition("/") if isinstance(path, str) else ("", "", "")
+    parts = re.sub(r"^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?", "", folder)
+    plain = parts.startswith("/") and not re.search(r"[*?\[\]{}\\]|/\.{0,2}(/|$)", parts)
+    if plain and re.search(r"[*?\[{]", name):
+        listed = spark.read.option("recursiveFileLookup", True)
+        above = F.regexp_replace(F.col("_metadata.file_path"), "^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?", "")
+        try:
+            deeper = listed.text(folder, **options).where(F.size(F.split(above, "/")) > parts.count("/") + 2)
+            files = listed.option("pathGlobFilter", name).text(folder, **options)
+        except AnalysisException as error:
+            if error.getCondition() != "PATH_NOT_FOUND":
+                raise
+        else:
+            if deeper.rdd.getNumPartitions() == 0 and files.rdd.getNumPartitions() > 0:
+                return files
+    return spark.read.text(path, **options)
+
+
 def read_documents(spark: SparkSession, path: str, largest: int | None = None) -> DataFrame:
     """Files below ``path`` (folder or glob) as (source_file, body); those above ``largest`` bytes are not opened."""
-    files = spark.read.text(path, wholetext=True)
-    if largest is not None:
-        files = files.where(F.col("_metadata.file_size") <= largest)
+    files = read_text(spark, path, wholetext=True)
+    return _documents(files if largest is None else files.where(F.col("_metadata.file_size") <= largest))
+
+
+def _documents(files: DataFrame) -> DataFrame:
     return files.select(F.col("_metadata.file_path").alias("source_file"), F.col("value").alias("body"))
 
 
@@ -218,9 +248,9 @@ def staged_history(spark: SparkSession, path: str, whole_bytes: int = WHOLE_BYTE
     """
     from playtrail.sources import splithistory
 
-    staged = staged_plays(read_documents(spark, path, whole_bytes))
-    large = spark.read.text(path, wholetext=True).where(F.col("_metadata.file_size") > whole_bytes)
-    if large.rdd.getNumPartitions() == 0:
+    files, size = read_text(spark, path, wholetext=True), F.col("_metadata.file_size")
+    staged = staged_plays(_documents(files.where(size <= whole_bytes)))
+    if files.where(size > whole_bytes).rdd.getNumPartitions() == 0:
         return staged
     items, files = splithistory.split_items(spark, path, above=whole_bytes, range_bytes=range_bytes)
     counts = _counted(items).groupBy("source_file").agg(F.sum("failed").alias("failed"), F.sum("skipped_content").alias("skipped_content"))

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from playtrail.session import scratch_path
-from playtrail.sources.history import ITEMS, TRIMMED, whole_array
+from playtrail.sources.history import ITEMS, TRIMMED, read_text, whole_array
 
 CELL_BYTES = 256 << 20
 # Segments whose plays are numbered together.
@@ -36,7 +36,7 @@ def read_pieces(spark: SparkSession, paths, above: int | None = None) -> DataFra
     ``block`` is the first byte of the range that was read, ``place`` the order inside the range. With ``above``, only files of more
     bytes are opened. Many small ranges are read by one task, else what is written has a file for each.
     """
-    files = spark.read.option("lineSep", "}").text(paths)
+    files = read_text(spark, paths, lineSep="}")
     if above is not None:
         files = files.where(F.col("_metadata.file_size") > above)
     pieces = files.select(

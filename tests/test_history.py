@@ -4,6 +4,7 @@ import datetime as dt
 import json
 
 import pytest
+from pyspark.errors import AnalysisException
 
 from playtrail.schemas import PLAYS
 from playtrail.sources import history
@@ -167,3 +168,43 @@ def test_folder_reads_only_history_files(spark, tmp_path):
     (tmp_path / "Streaming_History_Audio_2.json").write_text(json.dumps([PLAY, PLAY])[:-30])
     (tmp_path / "Other.json").write_text(json.dumps([PLAY] * 5))
     assert history.bulk_plays(history.read_history(spark, str(tmp_path))).count() == 2
+
+
+def _found(spark, path):
+    return sorted((r.source_file, r.body) for r in history.read_documents(spark, path).collect())
+
+
+def test_many_files_of_a_glob_are_listed_with_their_folder(spark, tmp_path):
+    for n in range(40):
+        (tmp_path / f"Streaming_History_Audio_{n}.json").write_text(json.dumps([PLAY] * n))
+    (tmp_path / "Other.json").write_text("[]")
+    group = f"listing {tmp_path}"
+    spark.sparkContext.setJobGroup(group, "")
+    try:
+        documents = history.read_documents(spark, f"{tmp_path}/{history.HISTORY_GLOB}")
+        staged = history.staged_history(spark, f"{tmp_path}/{history.HISTORY_GLOB}")
+        assert spark.sparkContext.statusTracker().getJobIdsForGroup(group) == []
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert documents.count() == 40 and history.plays_of(staged).count() == sum(range(40))
+
+
+def test_a_glob_finds_what_spark_finds(spark, tmp_path):
+    for at in ("a.json", "b.json", "c.txt", "_d.json", ".e.json", "x y%.json"):
+        (tmp_path / at).write_text(f"body\nof {at}\n")
+
+    def same(path):
+        want = spark.read.text(path, wholetext=True).select("_metadata.file_path", "value").collect()
+        assert _found(spark, path) == sorted(map(tuple, want))
+        return len(want)
+
+    for name, n in (("*.json", 3), ("[ab].json", 2), ("{a,c}.*", 2), ("?.json", 2), ("*", 4), ("a.json", 1)):
+        assert same(f"{tmp_path}/{name}") == same(f"file://{tmp_path}/{name}") == n
+    (tmp_path / "deep.json").mkdir()
+    (tmp_path / "deep.json" / "part").write_text("below a folder that fits")
+    (tmp_path / "other").mkdir()
+    (tmp_path / "other" / "f.json").write_text("below one that does not")
+    assert same(f"{tmp_path}/*.json") == 4
+    for missing in (f"{tmp_path}/*.csv", f"{tmp_path}/none/*.json"):
+        with pytest.raises(AnalysisException, match="PATH_NOT_FOUND"):
+            history.read_documents(spark, missing)
